@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from prosemill.llm.fuzzy_lines import op10_fuzzy_lines
 from prosemill.llm.language_id import op8_language_id
 
-_ALL = (op8_language_id,)
+_ALL = (op8_language_id, op10_fuzzy_lines)
 
 
 def queries():
