@@ -9,7 +9,7 @@ chunks that occur more than once and make up at least ``RUN`` bytes are reported
 
 Defined results: null and empty texts have no chunks; a repeat within one document
 counts as well as one across documents; rows that repeat a document id are one
-document each, and their equal chunks at equal places count as repeats. The first
+document each, and their equal chunks at equal places count as repeats, listed once. The first
 occurrence by (document, offset) of each chunk is the one that stays, the others may
 go. Rows with a null id are not looked at, nor are other columns.
 """
@@ -80,11 +80,15 @@ def chunk(batches):
 
 
 def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, off, len, first: struct<id, off>) of every chunk that occurs more than once."""
+    """(id, off, len, n, first: struct<id, off>) of every chunk that occurs more than once.
+
+    Counts are combined before they are shuffled and the chunks then joined with the
+    repeated digests, so a chunk that half of the corpus shares is no single task's work.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    w = Window.partitionBy("d1", "d2")
     chunks = src.mapInArrow(chunk, "id long, off long, len int, d1 long, d2 int")
-    return chunks.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min(F.struct("id", "off")).over(w).alias("first")).where("n > 1").select("id", "off", "len", "n", "first")
+    repeated = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "off")).alias("first")).where("n > 1")
+    return chunks.join(repeated.hint("shuffle_hash"), ["d1", "d2"]).select("id", "off", "len", "n", "first")
 
 
 def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", run=RUN) -> DataFrame:
@@ -94,7 +98,7 @@ def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", run=RUN
     ``first_doc_id`` is the least document that has the stretch's first chunk.
     """
     by = Window.partitionBy("id").orderBy("off")
-    c = repeated_chunks(docs, id_col, text_col).groupBy("id", "off").agg(F.max("len").alias("len"), F.min("first").alias("first"))
+    c = repeated_chunks(docs, id_col, text_col).repartition("id").groupBy("id", "off").agg(F.max("len").alias("len"), F.min("first").alias("first"))
     c = c.withColumn("new", (F.coalesce(F.lag(F.col("off") + F.col("len")).over(by), F.lit(-1)) != F.col("off")).cast("int")).withColumn("g", F.sum("new").over(by))
     spans = c.groupBy("id", "g").agg(
         F.min("off").alias("start"),
