@@ -6,8 +6,9 @@ from prosemill.llm.dart_minhash import op4_dart_minhash
 from prosemill.llm.fuzzy_lines import op10_fuzzy_lines
 from prosemill.llm.gear_chunks import op5_gear_chunks
 from prosemill.llm.language_id import op8_language_id
+from prosemill.llm.nbest_pieces import op9_nbest_pieces
 
-_ALL = (op4_dart_minhash, op5_gear_chunks, op8_language_id, op10_fuzzy_lines)
+_ALL = (op4_dart_minhash, op5_gear_chunks, op8_language_id, op9_nbest_pieces, op10_fuzzy_lines)
 
 
 def queries():
