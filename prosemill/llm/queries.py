@@ -5,12 +5,14 @@ from __future__ import annotations
 from prosemill.llm.dart_minhash import op4_dart_minhash
 from prosemill.llm.fuzzy_lines import op10_fuzzy_lines
 from prosemill.llm.gear_chunks import op5_gear_chunks
+from prosemill.llm.kk_shards import op2_kk_shards
+from prosemill.llm.kmeans_tree import op3_kmeans_tree
 from prosemill.llm.language_id import op8_language_id
 from prosemill.llm.nbest_pieces import op9_nbest_pieces
 from prosemill.llm.qgram_leaks import op7_qgram_leaks
 from prosemill.llm.sparse_suffixes import op6_sparse_suffixes
 
-_ALL = (op4_dart_minhash, op5_gear_chunks, op6_sparse_suffixes, op7_qgram_leaks, op8_language_id, op9_nbest_pieces, op10_fuzzy_lines)
+_ALL = (op2_kk_shards, op3_kmeans_tree, op4_dart_minhash, op5_gear_chunks, op6_sparse_suffixes, op7_qgram_leaks, op8_language_id, op9_nbest_pieces, op10_fuzzy_lines)
 
 
 def queries():
