@@ -79,15 +79,20 @@ def raw_sentences(text) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).when(easy, _narrative(c)).otherwise(_scanned("raw")(F.when(~easy, c)))
 
 
+def _exploded(df: DataFrame, id_cols, name, index="sent_index", keep=()) -> DataFrame:
+    """One row an element of ``_s``. An inner explode would have its array checked for elements below it, and so scanned twice."""
+    return df.select(*id_cols, *keep, F.posexplode_outer("_s").alias(index, name)).where(F.col(index).isNotNull())
+
+
 def sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
     """(ids, sent_index, raw, sentence): one row a sentence; ``sentence`` is normalized."""
-    s = df.select(*id_cols, F.posexplode(raw_sentences(text_col)).alias("sent_index", "raw"))
+    s = _exploded(df.select(*id_cols, raw_sentences(text_col).alias("_s")), id_cols, "raw")
     return s.withColumn("sentence", normalize("raw"))
 
 
 def segment(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
     """``sentences`` with ``span``: start_line, start_col, end_line, end_col from 1, the end column excluded."""
-    s = df.select(*id_cols, text_col, _scanned("spans")(F.col(text_col)).alias("_s")).select(*id_cols, text_col, F.posexplode("_s").alias("sent_index", "_s"))
+    s = _exploded(df.select(*id_cols, text_col, _scanned("spans")(F.col(text_col)).alias("_s")), id_cols, "_s", keep=(text_col,))
     raw = F.substr(F.col(text_col), F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))
     span = F.struct(*[F.col(f"_s.{n}") for n in ("start_line", "start_col", "end_line", "end_col")])
     return s.select(*id_cols, "sent_index", raw.alias("raw"), span.alias("span")).withColumn("sentence", normalize("raw"))
@@ -95,7 +100,7 @@ def segment(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
 
 def transitions(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
     """(ids, step, sent_index, state_before, state_after, transition, matched, pattern, seam): the scanner's trace."""
-    t = df.select(*id_cols, F.posexplode(_scanned("trace")(F.col(text_col))).alias("step", "_t"))
+    t = _exploded(df.select(*id_cols, _scanned("trace")(F.col(text_col)).alias("_s")), id_cols, "_t", "step")
     return t.select(*id_cols, "step", "_t.*")
 
 

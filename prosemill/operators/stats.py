@@ -16,7 +16,7 @@ def nearest_rank(sorted_array, q: float) -> Column:
 
 def array_stats(lengths) -> list[Column]:
     """The eight statistics of an array of lengths, without exploding it; nulls for an empty one."""
-    s = F.array_sort(lengths)
+    s = F.sort_array(lengths)
     n = F.size(s)
     mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
     half = (n / 2).cast("int")

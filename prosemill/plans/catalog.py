@@ -244,11 +244,11 @@ def doc_length_stats(spark, d):
     return _rounded(A.file_stats(S.sentences(docs(spark, d))))
 
 
-@query(lambda: _PLAIN + _LENGTHS + _stats_sql("doc_id", "SELECT doc_id, list_sort(list(x)) AS v FROM len GROUP BY doc_id").replace("CAST(len(v) AS BIGINT) AS n, ", ""))
+@query(lambda: _PLAIN + _LENGTHS + _stats_sql("doc_id", "SELECT doc_id, list_sort(list(x)) AS v FROM len GROUP BY doc_id").replace("CAST(len(v) AS BIGINT) AS n, ", "").replace("SELECT doc_id, v[1]", "SELECT doc_id, s.* EXCLUDE (doc_id) FROM documents LEFT JOIN (SELECT doc_id, v[1]") + ") s USING (doc_id)")
 def doc_length_stats_arrays(spark, d):
-    """The same from each document's array, without a shuffle."""
+    """The same from each document's array, without a shuffle; a document without sentences has nulls."""
     lengths = F.transform(S.raw_sentences("text"), lambda s: F.length(T.normalize(s)))
-    return _rounded(docs(spark, d).select("doc_id", lengths.alias("_l")).where(F.size("_l") > 0).select("doc_id", *A.array_stats(F.col("_l"))))
+    return _rounded(docs(spark, d).select("doc_id", lengths.alias("_l")).select("doc_id", *A.array_stats(F.col("_l"))))
 
 
 @query(lambda: _PLAIN + _LENGTHS + _stats_sql("", "SELECT list_sort(flatten(list(list_transform(range(n), lambda i: m)))) AS v FROM (SELECT doc_id, CAST(floor(avg(x)) AS BIGINT) AS m, count(*) AS n FROM len GROUP BY doc_id)"))
@@ -640,7 +640,8 @@ def streamed_totals(spark, d):
 @query(lambda: _PLAIN + ", len AS (SELECT lang, length(" + _NORM + ") AS x FROM sent JOIN documents USING (doc_id))" + _stats_sql("lang", "SELECT lang, list_sort(list(x)) AS v FROM len GROUP BY lang"))
 def flagship(spark, d):
     """Sentences and length statistics by language."""
-    lengths = docs(spark, d).select("lang", F.explode(F.transform(S.raw_sentences("text"), lambda s: F.length(T.normalize(s)))).alias("length"))
+    arrays = docs(spark, d).select("lang", F.transform(S.raw_sentences("text"), lambda s: F.length(T.normalize(s))).alias("_l"))
+    lengths = arrays.select("lang", F.explode_outer("_l").alias("length"))
     return _rounded(A.length_stats(lengths, "lang"))
 
 
