@@ -12,6 +12,7 @@ from prosemill.operators import segment as S
 from prosemill.operators import stats as A
 from prosemill.plans import oracle as O
 from prosemill.sources import corpus as K
+from prosemill.sources.tables import read_table
 from prosemill.streaming import books
 
 _QUERIES, _SQL = {}, {}
@@ -30,7 +31,7 @@ def query(sql=None):
 
 
 def docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return read_table(spark, d, "documents")
 
 
 def dialog_docs(spark, d):
@@ -205,12 +206,12 @@ def seam_contexts(spark, d):
 
 @query(lambda: O.sentences("SELECT conv_id * 1000 + turn AS doc_id, text AS t FROM conversations") + f"SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, CAST(sent_index AS INT) AS sent_index, {_NORM} AS sentence FROM sent")
 def conversation_segments(spark, d):
-    return S.sentences(spark.read.parquet(f"{d}/conversations.parquet"), ("conv_id", "turn")).drop("raw")
+    return S.sentences(read_table(spark, d, "conversations"), ("conv_id", "turn")).drop("raw")
 
 
 @query(lambda: O.sentences("SELECT page_id AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages") + f"SELECT doc_id AS page_id, CAST(sent_index AS INT) AS sent_index, {_NORM} AS sentence FROM sent")
 def page_text_segments(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    p = read_table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     return S.sentences(p, ("page_id",)).drop("raw")
 
 

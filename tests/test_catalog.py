@@ -17,3 +17,60 @@ def test_equals_sql(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_overlaps_equal_brute_force(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from prosemill.operators import compare as C
+
+    docs = catalog.dialog_docs(spark, sf_dir).where("doc_id < 40")
+    from prosemill.operators import segment as S
+
+    a, b = S.sentences(docs).drop("raw"), S.simple_sentences(docs)
+    regions = C.regions_step_two(a).select("doc_id", "first", "text")
+    got = {(r.doc_id, r.first, r.sent_index) for r in C.overlapping(regions, b).collect()}
+    by = {}
+    for r in b.collect():
+        by.setdefault(r.doc_id, []).append((r.sent_index, r.sentence))
+    want = set()
+    for r in regions.collect():
+        for i, s in by.get(r.doc_id, []):
+            if r.first - 5 <= i <= r.first + 20:
+                words = {w for w in s.lower().split() if len(w) > 4}
+                share = len(words & set(r.text.lower().split())) / len(words) if words else 0
+                if s in r.text or share > 0.5 or SequenceMatcher(None, r.text, s).ratio() > 0.7:
+                    want.add((r.doc_id, r.first, i))
+    assert got == want and want
+
+
+def test_similarity_is_difflibs(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    rows = spark.createDataFrame([("abcd", "bcde"), ("", ""), (None, "x"), ("the cat sat", "the cat sits")], "a string, b string")
+    from prosemill.operators import compare as C
+
+    got = [r.r for r in rows.select(C.similarity_ratio("a", "b").alias("r")).collect()]
+    assert got == [0.75, 1.0, None, SequenceMatcher(None, "the cat sat", "the cat sits").ratio()]
+
+
+def test_chunks_follow_the_cursor(spark):
+    from prosemill.operators import compare as C
+
+    text = ["He ran.", "She said.", "It was.", '"So."', "Then."] + ["And so on."] * 25
+    line = [1, 2, 5, 5, 6] + list(range(7, 32))
+    rows = [(1, i, t, (n, 1, n, 9)) for i, (t, n) in enumerate(zip(text, line))] + [(2, 0, "One.", (1, 1, 1, 5))]
+    df = spark.createDataFrame(rows, "doc_id long, sent_index int, sentence string, span struct<start_line:int,start_col:int,end_line:int,end_col:int>")
+    want, i, n = [], 0, len(text)
+    while i < n:
+        first = i
+        while i < n - 1:
+            now, after = text[i], text[i + 1]
+            if line[i + 1] > line[i] + 1 or now.lower().rstrip(".!? ").endswith(("said", "asked")) or (now.endswith('"') and not after.startswith('"')) or i - first >= 10:
+                break
+            i += 1
+        if i == first:
+            i += 1
+        want.append((first, i - 1))
+    got = sorted((r.doc_id, r.first, r.last) for r in C.chunks(df).collect())
+    assert [x[1:] for x in got if x[0] == 1] == want and [x for x in got if x[0] == 2] == [(2, 0, 0)]
