@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from prosemill.llm._text import SpanHasher, buffers, row_blocks
 
 SEED = 16
-WINDOW = 80
+WINDOW = 96
 LEAST = 100
 
 
@@ -183,26 +183,29 @@ def duplicate_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     Stretches that overlap or touch are one; ``partner_doc_id`` is the least document
     that shares some part of it.
     """
-    s = shared_stretches(docs, id_col, text_col).groupBy("id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner"))
-    return s.repartition("id").sortWithinPartitions("id", "start").mapInArrow(merged, "doc_id long, start long, end long, partner_doc_id long")
+    return shared_stretches(docs, id_col, text_col).repartition("id").sortWithinPartitions("id", "start").mapInArrow(merged, "doc_id long, start long, end long, partner_doc_id long")
 
 
 def merged(batches):
     """Unions of stretches that come sorted by (id, start)."""
-    now = None
+    held = None
     for batch in batches:
-        out = []
-        for i, s, e, p in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if now and now[0] == i and s <= now[2]:
-                now[2], now[3] = max(now[2], e), min(now[3], p)
-            else:
-                if now:
-                    out.append(now)
-                now = [i, s, e, p]
-        if out:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "end", "partner_doc_id"])
-    if now:
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in now], ["doc_id", "start", "end", "partner_doc_id"])
+        if not batch.num_rows:
+            continue
+        i, s, e, p = (batch.column(k).to_numpy() for k in range(4))
+        if held is not None:
+            i, s, e, p = (np.append(h, x) for h, x in zip(held, (i, s, e, p)))
+        # Ends as far as reached in their document: a running maximum that each document starts anew.
+        doc = np.cumsum(np.append(0, i[1:] != i[:-1]))
+        lift = doc * (int(e.max()) + 1)
+        reach = np.maximum.accumulate(e + lift) - lift
+        new = np.append(True, (doc[1:] != doc[:-1]) | (s[1:] > reach[:-1]))
+        at = np.flatnonzero(new)
+        rows = i[at], s[at], reach[np.append(at[1:], len(i)) - 1], np.minimum.reduceat(p, at)
+        held = [x[-1:] for x in rows]
+        yield pa.record_batch([pa.array(x[:-1]) for x in rows], ["doc_id", "start", "end", "partner_doc_id"])
+    if held is not None:
+        yield pa.record_batch([pa.array(x) for x in held], ["doc_id", "start", "end", "partner_doc_id"])
 
 
 def op6_sparse_suffixes(spark, sf_dir):
