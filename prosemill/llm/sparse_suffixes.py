@@ -11,7 +11,7 @@ hash partitions of the first ``LEAST`` bytes: all suffixes that can be neighbour
 so long a match meet there. A match that goes on beyond ``LEAST + WINDOW`` bytes is
 carried on by the next retained suffix, so bounded contexts lose nothing of it.
 
-Every passage of at least LEAST + 2 WINDOW + SEED bytes that occurs twice is found, but
+Every passage of at least LEAST + WINDOW + SEED bytes that occurs twice is found, but
 for at most WINDOW bytes at its left end where another occurrence sorts nearer; nothing
 is reported that does not occur twice, and no stretch shorter than LEAST.
 

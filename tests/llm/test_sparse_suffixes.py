@@ -54,7 +54,7 @@ def test_against_brute_force_and_cases(spark):
         assert x.end - x.start >= S.LEAST and x.partner_doc_id is not None
         found.setdefault(x.doc_id, set()).update(range(x.start, x.end))
     marks = repeated(rows)
-    truth, sure = marks(S.LEAST), marks(S.LEAST + 2 * S.WINDOW + S.SEED)
+    truth, sure = marks(S.LEAST), marks(S.LEAST + S.WINDOW + S.SEED)
     assert all(v <= truth[i] for i, v in found.items())
     for i, v in sure.items():
         # All but WINDOW bytes at the left end of a run.
