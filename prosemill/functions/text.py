@@ -73,9 +73,9 @@ def lines_joined(c, first, last) -> Column:
 def complexity_a(c) -> Column:
     """dialog, abbreviation, complex or normal: the first that a sentence shows, by the wide patterns."""
     return (
-        F.when(F.col(c).rlike(r"(?i)\"[^\"]*\"|'[^']*'|\b(?:answered|asked|exclaimed|replied|said|shouted|whispered)\b|^\s*\"|--"), "dialog")
-        .when(F.col(c).rlike(r"\b(?:Ave|Dr|Mr|Mrs|Prof|Rd|St|e\.g|etc|i\.e|vs)\.|\b[A-Z]\.|\b\w+\.\w+\."), "abbreviation")
-        .when(F.col(c).rlike(r"[;:]|\([^)]*\)|--|\b(?:furthermore|however|moreover|nevertheless|therefore)\b"), "complex")
+        F.when(F.col(c).rlike(r"(?iU)\"[^\"]*\"|'[^']*'|\b(?:answered|asked|exclaimed|replied|said|shouted|whispered)\b|^\s*\"|--"), "dialog")
+        .when(F.col(c).rlike(r"(?U)\b(?:Ave|Dr|Mr|Mrs|Prof|Rd|St|e\.g|etc|i\.e|vs)\.|\b[A-Z]\.|\b\w+\.\w+\."), "abbreviation")
+        .when(F.col(c).rlike(r"(?U)[;:]|\([^)]*\)|--|\b(?:furthermore|however|moreover|nevertheless|therefore)\b"), "complex")
         .otherwise("normal")
     )
 
@@ -83,8 +83,8 @@ def complexity_a(c) -> Column:
 def complexity_b(c) -> Column:
     """The same by the narrow patterns, in which any quote makes dialog."""
     return (
-        F.when(F.col(c).rlike(r"(?i)[\"']|\b(?:asked|replied|said)\b"), "dialog")
-        .when(F.col(c).rlike(r"\b(?:Dr|Mr|Mrs|e\.g|etc|i\.e|vs)\.|[A-Z]\."), "abbreviation")
+        F.when(F.col(c).rlike(r"(?iU)[\"']|\b(?:asked|replied|said)\b"), "dialog")
+        .when(F.col(c).rlike(r"(?U)\b(?:Dr|Mr|Mrs|e\.g|etc|i\.e|vs)\.|[A-Z]\."), "abbreviation")
         .when(F.col(c).rlike(r"(?i)[;:()-]|however|therefore"), "complex")
         .otherwise("normal")
     )
@@ -104,7 +104,7 @@ INDICATORS = (
 
 def indicators(c) -> Column:
     """Which of the eight signs of difficulty a text shows, in their order."""
-    return F.filter(F.array(*[F.when(F.col(c).rlike(p), F.lit(n)) for n, p in INDICATORS]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(F.col(c).rlike("(?U)" + p), F.lit(n)) for n, p in INDICATORS]), lambda x: x.isNotNull())
 
 
 def word_overlap(words_of, text) -> Column:

@@ -458,8 +458,8 @@ def word_overlap(spark, d):
 
 # Classification and samples.
 
-_A = "CASE WHEN regexp_matches(s, '(?i)\"[^\"]*\"|''[^'']*''|\\b(?:answered|asked|exclaimed|replied|said|shouted|whispered)\\b|^\\s*\"|--') THEN 'dialog' WHEN regexp_matches(s, '\\b(?:Ave|Dr|Mr|Mrs|Prof|Rd|St|e\\.g|etc|i\\.e|vs)\\.|\\b[A-Z]\\.|\\b\\w+\\.\\w+\\.') THEN 'abbreviation' WHEN regexp_matches(s, '[;:]|\\([^)]*\\)|--|\\b(?:furthermore|however|moreover|nevertheless|therefore)\\b') THEN 'complex' ELSE 'normal' END"
-_B = "CASE WHEN regexp_matches(s, '(?i)[\"'']|\\b(?:asked|replied|said)\\b') THEN 'dialog' WHEN regexp_matches(s, '\\b(?:Dr|Mr|Mrs|e\\.g|etc|i\\.e|vs)\\.|[A-Z]\\.') THEN 'abbreviation' WHEN regexp_matches(s, '(?i)[;:()-]|however|therefore') THEN 'complex' ELSE 'normal' END"
+_A = f"CASE WHEN regexp_matches(s, {O.regex(r'(?i)"[^"]*"|' + "'[^']*'" + r'|\b(?:answered|asked|exclaimed|replied|said|shouted|whispered)\b|^\s*"|--')}) THEN 'dialog' WHEN regexp_matches(s, {O.regex(r'\b(?:Ave|Dr|Mr|Mrs|Prof|Rd|St|e\.g|etc|i\.e|vs)\.|\b[A-Z]\.|\b\w+\.\w+\.')}) THEN 'abbreviation' WHEN regexp_matches(s, {O.regex(r'[;:]|\([^)]*\)|--|\b(?:furthermore|however|moreover|nevertheless|therefore)\b')}) THEN 'complex' ELSE 'normal' END"
+_B = f"CASE WHEN regexp_matches(s, {O.regex('(?i)[' + chr(34) + chr(39) + ']|' + r'\b(?:asked|replied|said)\b')}) THEN 'dialog' WHEN regexp_matches(s, {O.regex(r'\b(?:Dr|Mr|Mrs|e\.g|etc|i\.e|vs)\.|[A-Z]\.')}) THEN 'abbreviation' WHEN regexp_matches(s, {O.regex('(?i)[;:()-]|however|therefore')}) THEN 'complex' ELSE 'normal' END"
 _CLASSES = f", c AS (SELECT doc_id, sent_index, s, {_A} AS a, {_B} AS b FROM (SELECT doc_id, sent_index, {_NORM} AS s FROM sent))"
 
 
@@ -479,7 +479,7 @@ def complexity_b(spark, d):
 
 
 @query(
-    lambda: "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {O.q(p)}) THEN {O.q(n)} END" for n, p in T.INDICATORS) + f"], lambda x: x IS NOT NULL), ',') AS indicators FROM ({_DIALOG})"
+    lambda: "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {O.regex(p)}) THEN {O.q(n)} END" for n, p in T.INDICATORS) + f"], lambda x: x IS NOT NULL), ',') AS indicators FROM ({_DIALOG})"
 )
 def complexity_indicators(spark, d):
     return dialog_docs(spark, d).select("doc_id", F.array_join(T.indicators("text"), ",").alias("indicators"))

@@ -14,6 +14,13 @@ def q(s: str) -> str:
 WS = r"[\s\x{0b}\x{85}\p{Z}]"
 
 
+def regex(p):
+    """A pattern of Unicode words in RE2's syntax, whose own \\b, \\w and \\s are ASCII's."""
+    edge, word = r"[^\pL\pN\pM_]", r"[\pL\pN\pM_]"
+    p = p.replace(r")\b", rf")(?:{edge}|$)").replace(r"\b", rf"(?:^|{edge})").replace(r"\w", word).replace(r"\s", WS)
+    return q(p)
+
+
 def normalize(c):
     return f"trim(regexp_replace({c}, {q(WS + '+')}, ' ', 'g'))"
 
