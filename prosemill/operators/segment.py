@@ -27,12 +27,15 @@ _STOP, _GO = "\ufdd0", "\ufdd1"
 
 
 def _scanned(kind):
-    """An Arrow function text -> array of raw sentences, spans or transitions."""
+    """An Arrow function text -> array of raw sentences, spans or transitions, or the count of sentences."""
 
     def run(cols):
         for col in cols:
             out, sizes = [], [0]
             for t in col.to_pylist():
+                if kind == "count":
+                    sizes.append(0 if t is None else len(scan(t)))
+                    continue
                 if t is None:
                     sizes.append(sizes[-1])
                     continue
@@ -44,6 +47,9 @@ def _scanned(kind):
                     breaks = line_breaks(t)
                     out.extend((a, b, *position(breaks, a), *position(breaks, b)) for a, b in scan(t))
                 sizes.append(len(out))
+            if kind == "count":
+                yield pa.array(sizes[1:], pa.int32())
+                continue
             if kind == "raw":
                 values = pa.array(out, pa.string())
             elif kind == "spans":
@@ -55,7 +61,7 @@ def _scanned(kind):
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
 
     run.__annotations__ = {"cols": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, {"raw": "array<string>", "spans": f"array<{_SPAN}>", "trace": f"array<{_STEP}>"}[kind])
+    return F.arrow_udf(run, {"raw": "array<string>", "spans": f"array<{_SPAN}>", "trace": f"array<{_STEP}>", "count": "int"}[kind])
 
 
 def raw_sentences(text) -> Column:
@@ -63,6 +69,11 @@ def raw_sentences(text) -> Column:
     return _scanned("raw")(F.col(text) if isinstance(text, str) else text)
 
 
+def sentence_count(text) -> Column:
+    """How many sentences a text has. It passes for nondeterministic, lest a filter on it scan the text once more."""
+    return _scanned("count").asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+
+
 def _exploded(df: DataFrame, id_cols, name, index="sent_index", keep=()) -> DataFrame:
     """One row an element of ``_s``. An inner explode would have its array checked for elements below it, and so scanned twice."""
     return df.select(*id_cols, *keep, F.posexplode_outer("_s").alias(index, name)).where(F.col(index).isNotNull())

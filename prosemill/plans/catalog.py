@@ -264,7 +264,7 @@ def exact_aggregate_length_stats(spark, d):
 
 @query(lambda: _PLAIN + ", c AS (SELECT lang, doc_id, count(*) AS x FROM sent JOIN documents USING (doc_id) GROUP BY lang, doc_id)" + _stats_sql("lang", "SELECT lang, list_sort(list(x)) AS v FROM c GROUP BY lang"))
 def sentence_count_stats(spark, d):
-    s = docs(spark, d).select("lang", F.size(S.raw_sentences("text")).alias("length")).where("length > 0")
+    s = docs(spark, d).select("lang", S.sentence_count("text").alias("length")).where("length > 0")
     return _rounded(A.length_stats(s, "lang"))
 
 
@@ -273,7 +273,7 @@ _FILES = ", f AS (SELECT d.doc_id, source, length(text) AS chars, strlen(text) A
 
 def _files(spark, d):
     status = F.when(F.col("doc_id") % 17 == 0, "skipped").when(F.contains("text", F.lit("|")), "failed").otherwise("success")
-    return docs(spark, d).select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), status.alias("status"), F.size(S.raw_sentences("text")).alias("sentences"))
+    return docs(spark, d).select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), status.alias("status"), S.sentence_count("text").alias("sentences"))
 
 
 @query(lambda: _PLAIN + _FILES + "SELECT count(*) AS files, CAST(sum(sentences) AS BIGINT) AS sentences, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM f")

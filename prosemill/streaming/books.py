@@ -34,5 +34,5 @@ def sentence_stream(docs: DataFrame, id_cols=("doc_id",), text_col="text") -> Da
 
 def running_totals(docs: DataFrame, by: str, text_col="text") -> DataFrame:
     """Sentences and characters by group so far, for complete or update mode."""
-    n = F.size(S.raw_sentences(text_col))
+    n = S.sentence_count(text_col)
     return docs.select(by, n.alias("n"), F.length(text_col).alias("c")).groupBy(by).agg(F.sum("n").alias("sentences"), F.sum("c").alias("chars"))
