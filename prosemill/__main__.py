@@ -19,7 +19,7 @@ def main(argv=None) -> int:
     p.add_argument("--clear-restart-log", action="store_true")
     p.add_argument("--max-cpus", type=int)
     p.add_argument("--sentence-length-stats", action="store_true")
-    p.add_argument("--debug-seams", action="store_true")
+    p.add_argument("--debug-joints", action="store_true")
     p.add_argument("--debug-text")
     p.add_argument("--debug-stdin", action="store_true")
     a = p.parse_args(argv)
@@ -44,7 +44,7 @@ def main(argv=None) -> int:
     if not os.path.exists(a.path):
         print(f"no such path: {a.path}", file=sys.stderr)
         return 1
-    out = C.run(spark, a.path, a.overwrite_all, a.fail_fast, a.stats_out, a.debug_seams, a.sentence_length_stats, a.clear_restart_log)
+    out = C.run(spark, a.path, a.overwrite_all, a.fail_fast, a.stats_out, a.debug_joints, a.sentence_length_stats, a.clear_restart_log)
     if not a.quiet:
         print(json.dumps({k: v for k, v in out.items() if k != "file_stats"}, indent=2))
     return 1 if os.path.isfile(a.path) and out["files_failed"] else 0

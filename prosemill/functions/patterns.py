@@ -32,7 +32,7 @@ _START, _LOWER = r"[A-Z\"'“‘(\[{]", r"[^A-Z\"'“‘(\[{]"
 _ONE = [r"\"", "'", "“", "‘", r"\(", r"\[", r"\{"]
 
 SPLIT, OPEN, CLOSE, SOFT, HARD = "split", "open", "close", "soft", "hard"
-#: Seams that end a sentence when they are followed.
+#: Joints that end a sentence when they are followed.
 SPLITTING = (SPLIT, CLOSE, HARD)
 #: Next state where the seam's own text tells it.
 BY_LAST, BY_SECOND_LAST = -1, -2
@@ -92,8 +92,8 @@ def _dialog(state):
     ]
 
 
-#: By state, ordered seams: (pattern, effect, next state, name). The first that matches leftmost wins.
-SEAMS = [_narrative(), *(_dialog(s) for s in range(1, 8))]
+#: By state, ordered joints: (pattern, effect, next state, name). The first that matches leftmost wins.
+JOINTS = [_narrative(), *(_dialog(s) for s in range(1, 8))]
 
 QUOTES = "\"'“”‘’"
 TITLES = tuple(

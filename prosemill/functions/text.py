@@ -60,7 +60,7 @@ def parse_span(c) -> Column:
 
 def pattern_name(state, pid) -> Column:
     """A seam's label by state and pattern number."""
-    table = F.create_map(*[x for k, seams in enumerate(P.SEAMS) for i, s in enumerate(seams) for x in (F.lit(f"{P.STATES[k]}/{i}"), F.lit(s[3]))])
+    table = F.create_map(*[x for k, joints in enumerate(P.JOINTS) for i, s in enumerate(joints) for x in (F.lit(f"{P.STATES[k]}/{i}"), F.lit(s[3]))])
     return F.coalesce(F.try_element_at(table, F.concat_ws("/", state, pid.cast("string"))), F.concat(F.lit("Unknown["), pid.cast("string"), F.lit("]")))
 
 

@@ -19,7 +19,7 @@ _OPENERS = frozenset(P.OPENERS)
 _NARRATIVE = re.compile(
     rf"[.!?](?:[ \t]+[A-Z\"'“‘(\[{{]|\r?\n[A-Z]|{_WS}*(?:\r\n\r\n|\n\n){_WS}*[A-Z])|[,:;][ \t]+[\"'“‘(\[{{]|[ \t\n][\"'“‘(\[{{]|(?:\r\n\r\n|\n\n)(?:.|\n)?"
 )
-_DIALOG = [None] + [re.compile("|".join(f"({_python(p)})" for p, *_ in seams)) for seams in P.SEAMS[1:]]
+_DIALOG = [None] + [re.compile("|".join(f"({_python(p)})" for p, *_ in joints)) for joints in P.JOINTS[1:]]
 _TITLES = frozenset(P.TITLES)
 
 
@@ -116,7 +116,7 @@ def scan(text, trace=None):
             break
         m, ms, me = hit[0], hit.start(), hit.end()
         pid = _narrative_id(m) if not state else hit.lastindex - 1
-        _, effect, target, name = P.SEAMS[state][pid]
+        _, effect, target, name = P.JOINTS[state][pid]
         if effect == P.HARD:
             if break_rejected(text, ms):
                 effect, target = P.SOFT, state

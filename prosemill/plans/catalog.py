@@ -93,19 +93,19 @@ def abbrev_word_freq(spark, d):
     return w.where(T.is_title("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[.!?](?:\\r?\\n|[ \\t]+)[A-Z]')) AS seams FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[.!?](?:\\r?\\n|[ \\t]+)[A-Z]')) AS joints FROM documents")
 def seam_candidates(spark, d):
-    return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"[.!?](?:\r?\n|[ \t]+)[A-Z]")).cast("long").alias("seams"))
+    return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"[.!?](?:\r?\n|[ \t]+)[A-Z]")).cast("long").alias("joints"))
 
 
 @query(
-    "SELECT lang, CAST(sum(len(regexp_extract_all(text, '[.!?]\\r?\\n[A-Z]'))) AS BIGINT) AS line_seams, CAST(sum(len(regexp_extract_all(text, '[.!?][ \\t]+[A-Z]'))) AS BIGINT) AS space_seams, CAST(sum(len(regexp_extract_all(text, '[,:;][ \\t]+'))) AS BIGINT) AS soft FROM documents GROUP BY lang"
+    "SELECT lang, CAST(sum(len(regexp_extract_all(text, '[.!?]\\r?\\n[A-Z]'))) AS BIGINT) AS line_joints, CAST(sum(len(regexp_extract_all(text, '[.!?][ \\t]+[A-Z]'))) AS BIGINT) AS space_joints, CAST(sum(len(regexp_extract_all(text, '[,:;][ \\t]+'))) AS BIGINT) AS soft FROM documents GROUP BY lang"
 )
 def seam_kind_counts(spark, d):
     def n(p):
         return F.sum(F.regexp_count("text", F.lit(p))).cast("long")
 
-    return docs(spark, d).groupBy("lang").agg(n(r"[.!?]\r?\n[A-Z]").alias("line_seams"), n(r"[.!?][ \t]+[A-Z]").alias("space_seams"), n(r"[,:;][ \t]+").alias("soft"))
+    return docs(spark, d).groupBy("lang").agg(n(r"[.!?]\r?\n[A-Z]").alias("line_joints"), n(r"[.!?][ \t]+[A-Z]").alias("space_joints"), n(r"[,:;][ \t]+").alias("soft"))
 
 
 # Segmenters.
@@ -200,7 +200,7 @@ def traced_sentences(spark, d):
 
 @query()
 def seam_contexts(spark, d):
-    """Seams with ten bytes of context to either side; tested against bytes in Python."""
+    """Joints with ten bytes of context to either side; tested against bytes in Python."""
     return S.transitions(dialog_docs(spark, d)).select("doc_id", "step", "matched", "seam")
 
 
@@ -615,12 +615,12 @@ def rule_category_counts(spark, d):
     return R.category_counts(R.expand(_rules(spark)))
 
 
-@query(lambda: _rule_sql() + f"SELECT id, state, pid, name FROM (SELECT id, 0 AS state, pid, CASE pid {' '.join(f'WHEN {i} THEN {O.q(n)}' for i, (*_, n) in enumerate(P.SEAMS[0]))} END AS name FROM (SELECT id, CASE {' '.join(f'WHEN regexp_full_match(pattern, {O.q(p)}) THEN {i}' for i, (p, *_) in enumerate(P.SEAMS[0]))} END::INT AS pid FROM cases))")
+@query(lambda: _rule_sql() + f"SELECT id, state, pid, name FROM (SELECT id, 0 AS state, pid, CASE pid {' '.join(f'WHEN {i} THEN {O.q(n)}' for i, (*_, n) in enumerate(P.JOINTS[0]))} END AS name FROM (SELECT id, CASE {' '.join(f'WHEN regexp_full_match(pattern, {O.q(p)}) THEN {i}' for i, (p, *_) in enumerate(P.JOINTS[0]))} END::INT AS pid FROM cases))")
 def rule_patterns(spark, d):
     """The narrative seam that each case's pattern is, by the first that matches it whole."""
     c = R.expand(_rules(spark))
     pid = None
-    for i, (p, *_) in enumerate(P.SEAMS[0]):
+    for i, (p, *_) in enumerate(P.JOINTS[0]):
         hit = F.col("pattern").rlike(rf"\A(?:{p})\z")
         pid = F.when(hit, i) if pid is None else pid.when(hit, i)
     return c.select("id", F.lit(0).alias("state"), pid.alias("pid")).withColumn("name", F.when(F.col("pid").isNotNull(), T.pattern_name(F.lit("Narrative"), F.col("pid"))))

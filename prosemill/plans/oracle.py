@@ -90,11 +90,11 @@ def machine(source: str, text="t", key="doc_id") -> str:
     Columns: key, k, st, pid, eff, nst, m, ms (start, from 1), me, es and ee (emitted sentence, from 1, end
     excluded; null: none), n (sentences so far), name.
     """
-    alt = [f"(?:{'|'.join(p for p, *_ in seams)})" for seams in P.SEAMS]
-    full = lambda k: "CASE " + " ".join(f"WHEN regexp_full_match(m, {q(p)}) THEN {i}" for i, (p, *_) in enumerate(P.SEAMS[k])) + " END"
-    effect = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {q(e)}" for i, (_, e, *_) in enumerate(P.SEAMS[k])) + " END"
-    target = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {t}" for i, (_, _, t, _) in enumerate(P.SEAMS[k])) + " END"
-    name = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {q(n)}" for i, (*_, n) in enumerate(P.SEAMS[k])) + " END"
+    alt = [f"(?:{'|'.join(p for p, *_ in joints)})" for joints in P.JOINTS]
+    full = lambda k: "CASE " + " ".join(f"WHEN regexp_full_match(m, {q(p)}) THEN {i}" for i, (p, *_) in enumerate(P.JOINTS[k])) + " END"
+    effect = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {q(e)}" for i, (_, e, *_) in enumerate(P.JOINTS[k])) + " END"
+    target = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {t}" for i, (_, _, t, _) in enumerate(P.JOINTS[k])) + " END"
+    name = lambda k: "CASE pid " + " ".join(f"WHEN {i} THEN {q(n)}" for i, (*_, n) in enumerate(P.JOINTS[k])) + " END"
     seen = r"[.!?\"')\]}>]"
     unseen = r"[^.!?\"')\]}>]"
     hard = "CASE WHEN contains(m, chr(13) || chr(10) || chr(13) || chr(10)) THEN strpos(m, chr(13) || chr(10) || chr(13) || chr(10)) - 1 WHEN contains(m, chr(10) || chr(10)) THEN strpos(m, chr(10) || chr(10)) - 1 END"

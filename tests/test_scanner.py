@@ -99,7 +99,7 @@ def test_invariants(t):
 def test_one_narrative_pattern_stands_for_all(t):
     from prosemill.operators.scanner import _NARRATIVE, _python
 
-    every = re.compile("|".join(f"({_python(p)})" for p, *_ in P.SEAMS[0]))
+    every = re.compile("|".join(f"({_python(p)})" for p, *_ in P.JOINTS[0]))
     a, b = every.search(t), _NARRATIVE.search(t)
     assert (a is None) == (b is None)
     if a:
