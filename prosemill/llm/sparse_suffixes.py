@@ -3,17 +3,21 @@
 Of a text's UTF-8 bytes only the suffixes at minimisers are retained: places whose
 ``SEED``-byte gram hashes least in some ``WINDOW`` neighbouring places; of equal ones
 all are. They depend on nearby content alone, so equal passages retain equal places. A
-suffix takes part if the next ``LEAST`` bytes are another retained suffix's as well;
+suffix takes part if the next ``KEY`` bytes are another retained suffix's as well;
 these suffixes are sorted by what follows and, among equal ones, by what precedes
-(read backwards); neighbours in that order are compared, and each suffix's matches
-with its two neighbours are extended to the right and to the left. Sorting is done in
-hash partitions of the first ``LEAST`` bytes: all suffixes that can be neighbours with
-so long a match meet there. A match that goes on beyond ``LEAST + WINDOW`` bytes is
-carried on by the next retained suffix, so bounded contexts lose nothing of it.
+(read backwards). Each is compared with those up to ``NEAR`` - 1 places away in that
+order and with its neighbours in the order of what precedes; matches are extended to
+the right and to the left by up to ``WINDOW`` bytes and count if they make up ``LEAST``.
+Sorting is done in hash partitions of the first ``KEY`` bytes: all suffixes that can
+match meet there. A match that goes on beyond that is carried on by the next retained
+suffix, so bounded contexts lose nothing of it.
 
-Every passage of at least LEAST + WINDOW + SEED bytes that occurs twice is found, but
-for at most WINDOW bytes at its left end where another occurrence sorts nearer; nothing
-is reported that does not occur twice, and no stretch shorter than LEAST.
+A window of ``WINDOW`` places, and ``KEY`` bytes from any of them on, make up ``LEAST``,
+so every passage of at least LEAST bytes retains a suffix that its other occurrence
+retains too. It is found, whole, where at most ``NEAR`` suffixes share those KEY bytes.
+Where more do, a passage can be missed, or bytes at its left end, if others go on longer
+to the right and yet others to the left. Nothing is reported that does not occur twice,
+and no stretch shorter than LEAST.
 
 Defined results: null and short texts have no passages; a repeat within one document
 counts; rows that repeat a document id are one document each, whose equal suffixes at
@@ -31,8 +35,14 @@ from pyspark.sql import functions as F
 from prosemill.llm._text import SpanHasher, buffers, row_blocks
 
 SEED = 16
-WINDOW = 96
+WINDOW = 50
 LEAST = 100
+#: Bytes from a minimiser on that two suffixes must share; any LEAST bytes hold a window and these.
+KEY = LEAST - WINDOW + 1
+#: Suffixes of equal KEY that are compared with one another, beyond neighbours by either context.
+NEAR = 8
+#: Rows of equal KEY that are held back to be sorted as a whole.
+HELD = 20_000
 
 
 def minimisers(h, off, seed=SEED, window=WINDOW):
@@ -75,7 +85,7 @@ def minimisers(h, off, seed=SEED, window=WINDOW):
 
 
 def places(data, off, hasher):
-    """(row, place, hash) of the retained suffixes with at least LEAST bytes to go; places count from the row's start."""
+    """(row, place, hash) of the retained suffixes with at least KEY bytes to go; places count from the row's start."""
     if len(data) < LEAST:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
@@ -83,9 +93,9 @@ def places(data, off, hasher):
     grams = hasher.spans(np.arange(len(data) - SEED + 1), np.arange(SEED, len(data) + 1))
     at = minimisers(grams, off)
     row = np.searchsorted(off, at, side="right") - 1
-    ok = at + LEAST <= off[row + 1]
+    ok = at + KEY <= off[row + 1]
     at, row = at[ok], row[ok]
-    return row, at - off[row], hasher.spans(at, at + LEAST)
+    return row, at - off[row], hasher.spans(at, at + KEY)
 
 
 def suffixes(batches):
@@ -100,7 +110,7 @@ def suffixes(batches):
 
 
 def contexts(batches):
-    """(h, right, left, id, place, size) of documents' suffixes at given places: bytes after LEAST, bytes before, backwards."""
+    """(h, right, left, id, place, size) of documents' suffixes at given places: bytes after KEY, bytes before, backwards."""
     hasher = SpanHasher(41)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -114,14 +124,14 @@ def contexts(batches):
             row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
             place = spots[first[i] : first[j]]
             # Rows that repeat an id have different texts; a place may lie beyond this one's.
-            ok = place + LEAST <= at[row + 1] - at[row]
+            ok = place + KEY <= at[row + 1] - at[row]
             row, place = row[ok], place[ok]
             s = place + at[row]
-            h = hasher.load(block).spans(s, s + LEAST)
-            e = np.minimum(s + LEAST + WINDOW, at[row + 1])
+            h = hasher.load(block).spans(s, s + KEY)
+            e = np.minimum(s + KEY + WINDOW, at[row + 1])
             b = np.maximum(s - WINDOW, at[row])
             raw, turned, n = block.tobytes(), block[::-1].tobytes(), len(block)
-            right = [raw[x:y] for x, y in zip((s + LEAST).tolist(), e.tolist())]
+            right = [raw[x:y] for x, y in zip((s + KEY).tolist(), e.tolist())]
             left = [turned[n - y : n - x] for x, y in zip(b.tolist(), s.tolist())]
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(ids[i:j][row]), pa.array(place)], ["h", "right", "left", "id", "place"])
 
@@ -134,36 +144,72 @@ def _matrix(col):
     return np.where(k < n[:, None], data[np.minimum(off[:-1][:, None] + k, max(len(data) - 1, 0))] if len(data) else np.uint8(0), 0).astype(np.uint8), n
 
 
-def _common(m, n):
-    """Bytes that each row and the next have in common."""
-    differ = m[1:] != m[:-1]
+def _common(m, n, i, j):
+    """Bytes that rows i and rows j have in common."""
+    differ = m[i] != m[j]
     first = np.where(differ.any(axis=1), differ.argmax(axis=1), WINDOW)
-    return np.minimum(first, np.minimum(n[1:], n[:-1]))
+    return np.minimum(first, np.minimum(n[i], n[j]))
+
+
+def compared(t):
+    """(id, start, end, partner): each suffix's bytes shared in LEAST or more with those of its KEY that it is compared with."""
+    h, ids, place = (t.column(c).to_numpy() for c in ("h", "id", "place"))
+    # The same place of one id again is the same occurrence.
+    new = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1]))
+    if not new.all():
+        t = t.filter(pa.array(new))
+        h, ids, place = h[new], ids[new], place[new]
+    (right, rn), (left, ln) = (_matrix(t.column(c)) for c in ("right", "left"))
+    start, end, partner = place.copy(), place.copy(), np.full(len(h), np.iinfo(np.int64).max)
+
+    def take(i, j):
+        r, b = _common(right, rn, i, j), _common(left, ln, i, j)
+        ok = b + KEY + r >= LEAST
+        i, j, r, b = i[ok], j[ok], r[ok], b[ok]
+        for x, y in ((i, j), (j, i)):
+            start[x] = np.minimum(start[x], place[x] - b)
+            end[x] = np.maximum(end[x], place[x] + KEY + r)
+            partner[x] = np.minimum(partner[x], ids[y])
+
+    # x is no place twice in one call of take: each row has one row so many places on.
+    for step in range(1, NEAR):
+        i = np.flatnonzero(h[step:] == h[:-step])
+        if not len(i):
+            break
+        take(i, i + step)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    many = np.flatnonzero(np.repeat(size > NEAR, size))
+    if len(many):
+        group = np.repeat(np.arange(len(size)), size)[many]
+        # As text, bytes sort from the left; padding is told from zeros by length.
+        order = np.lexsort((np.arange(len(many)), ln[many], np.ascontiguousarray(left[many]).view(f"V{WINDOW}").ravel().view(f"S{WINDOW}"), group))
+        i = many[order]
+        same = h[i[1:]] == h[i[:-1]]
+        take(i[:-1][same], i[1:][same])
+    some = end > place
+    return pa.record_batch([pa.array(ids[some]), pa.array(start[some]), pa.array(end[some]), pa.array(partner[some])], ["id", "start", "end", "partner"])
 
 
 def neighbours(batches):
-    """(id, start, end, partner): each suffix's stretch that it shares with its neighbours in sorted order."""
+    """``compared`` of suffixes in sorted order, runs of one KEY being kept whole up to HELD rows."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
         h = t.column("h").to_numpy()
-        ids, place = t.column("id").to_numpy(), t.column("place").to_numpy()
-        (right, rn), (left, ln) = (_matrix(t.column(c)) for c in ("right", "left"))
-        # The same place of one id again is the same occurrence.
-        new = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1]))
-        if not new.all():
-            t = t.filter(pa.array(new))
-            h, ids, place, right, rn, left, ln = (x[new] for x in (h, ids, place, right, rn, left, ln))
-        same = h[1:] == h[:-1]
-        r, b = _common(right, rn), _common(left, ln)
-        a, z = np.flatnonzero(same), np.flatnonzero(same) + 1
-        one = np.concatenate((a, z))
-        other = np.concatenate((z, a))
-        r, b = np.tile(r[same], 2), np.tile(b[same], 2)
-        yield pa.record_batch([pa.array(ids[one]), pa.array(place[one] - b), pa.array(place[one] + LEAST + r), pa.array(ids[other])], ["id", "start", "end", "partner"])
-        held = t.slice(len(h) - 1)
+        last = int(np.searchsorted(h, h[-1]))
+        if len(h) - last > HELD:
+            yield compared(t)
+            held = t.slice(len(h) - NEAR)
+        else:
+            if last:
+                yield compared(t.slice(0, last))
+            held = t.slice(last)
+    if held is not None:
+        yield compared(held)
 
 
 def shared_stretches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

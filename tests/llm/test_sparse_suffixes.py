@@ -74,3 +74,19 @@ def test_copies_in_thousands(spark):
     rows = [(i, prose(random.Random(i), 10) + t + prose(random.Random(-i), 10)) for i in range(1500)]
     got = S.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 1500 and all(x.end - x.start >= len(t.encode()) for x in got)
+
+
+def test_every_repeat_of_a_hundred_bytes(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for k in range(150):
+        x = "".join(r.choice("abcdefghijklmnop ") for _ in range(100 + k % 70))
+        for i in (2 * k, 2 * k + 1):
+            a, z = ("", "") if k < 20 else ("".join(r.choice("ABCDEFGH") for _ in range(r.randint(50, 150))) + "12"[i % 2], "34"[i % 2] + "".join(r.choice("ABCDEFGH") for _ in range(60)))
+            rows.append((i, a + x + z))
+            want[i] = (len(a), len(a) + len(x), i ^ 1)
+    # A key alone is too short a repeat.
+    key = "".join(r.choice("qrstuvwxyz") for _ in range(51))
+    got = S.duplicate_passages(spark.createDataFrame(rows + [(1000 + k, key + str(k) * 80) for k in range(5)], "doc_id long, text string")).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id < 1000} == want
+    assert all(x.end - x.start >= S.LEAST for x in got)
