@@ -435,9 +435,9 @@ def example_filter(spark, d):
 
 @query()
 def similarity_ratio(spark, d):
-    """Gestalt similarity of each document's two segmentations' first sentences; tested against difflib."""
+    """Gestalt similarity of each document's two segmentations, all sentences joined; tested against difflib."""
     x = _array_columns(spark, d)
-    return x.select("doc_id", C.similarity_ratio(F.get("own", F.lit(0)), F.get("b", F.lit(0))).alias("ratio"))
+    return x.select("doc_id", C.similarity_ratio(C.joined("own"), C.joined("b")).alias("ratio"))
 
 
 @query()

@@ -74,3 +74,16 @@ def test_chunks_follow_the_cursor(spark):
         want.append((first, i - 1))
     got = sorted((r.doc_id, r.first, r.last) for r in C.chunks(df).collect())
     assert [x[1:] for x in got if x[0] == 1] == want and [x for x in got if x[0] == 2] == [(2, 0, 0)]
+
+
+def test_similarity_ratio_takes_all_sentences(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from prosemill.plans import catalog
+
+    texts = [(0, "en", "src0", "It rained. He ran.  She sat.\n\nThey slept."), (1, "en", "src1", 'It rained. "Go on," he said. She sat.'), (2, "en", "src1", "Mr. Smith ran. He sat."), (4, "en", "src1", "")]
+    spark.createDataFrame(texts, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    x = catalog._array_columns(spark, str(tmp_path)).collect()
+    want = {r.doc_id: SequenceMatcher(None, *(" ".join(" ".join(s).split()) for s in (r.own, r.b))).ratio() for r in x}
+    assert any(len(r.own) > 2 for r in x)
+    assert {r.doc_id: r.ratio for r in catalog.similarity_ratio(spark, str(tmp_path)).collect()} == want
