@@ -107,8 +107,21 @@ def indicators(c) -> Column:
     return F.filter(F.array(*[F.when(F.col(c).rlike("(?U)" + p), F.lit(n)) for n, p in INDICATORS]), lambda x: x.isNotNull())
 
 
+def words(text) -> Column:
+    return F.split(F.lower(text), r"\s+")
+
+
+def long_words(text) -> Column:
+    """A text's distinct words of more than four letters."""
+    return F.array_distinct(F.filter(words(text), lambda w: F.length(w) > 4))
+
+
+def words_shared(long, there) -> Column:
+    """Share of words in an array that another has."""
+    return F.when(F.size(long) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(long, there)) / F.size(long))
+
+
 def word_overlap(words_of, text) -> Column:
     """Share of a sentence's distinct words of more than four letters that occur in a text."""
-    words = F.array_distinct(F.filter(F.split(F.lower(words_of), r"\s+"), lambda w: F.length(w) > 4))
-    there = F.split(F.lower(text), r"\s+")
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(words, there)) / F.size(words))
+    return words_shared(long_words(words_of), words(text))
+

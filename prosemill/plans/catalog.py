@@ -456,6 +456,13 @@ def word_overlap(spark, d):
     return j.select("doc_id", F.round(T.word_overlap(F.col("text"), F.col("o")), 6).alias("overlap"))
 
 
+@query()
+def word_overlap_pairs(spark, d):
+    """``word_overlap`` of every document with every benchmark item; words are split once a text, before they meet."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.words("text").alias("o"))
+    return docs(spark, d).select("doc_id", T.long_words("text").alias("v")).crossJoin(b).select("doc_id", "item_id", F.round(T.words_shared("v", "o"), 6).alias("overlap"))
+
+
 # Classification and samples.
 
 _A = f"CASE WHEN regexp_matches(s, {O.regex(r'(?i)"[^"]*"|' + "'[^']*'" + r'|\b(?:answered|asked|exclaimed|replied|said|shouted|whispered)\b|^\s*"|--')}) THEN 'dialog' WHEN regexp_matches(s, {O.regex(r'\b(?:Ave|Dr|Mr|Mrs|Prof|Rd|St|e\.g|etc|i\.e|vs)\.|\b[A-Z]\.|\b\w+\.\w+\.')}) THEN 'abbreviation' WHEN regexp_matches(s, {O.regex(r'[;:]|\([^)]*\)|--|\b(?:furthermore|however|moreover|nevertheless|therefore)\b')}) THEN 'complex' ELSE 'normal' END"

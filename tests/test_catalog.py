@@ -87,3 +87,16 @@ def test_similarity_ratio_takes_all_sentences(spark, tmp_path):
     want = {r.doc_id: SequenceMatcher(None, *(" ".join(" ".join(s).split()) for s in (r.own, r.b))).ratio() for r in x}
     assert any(len(r.own) > 2 for r in x)
     assert {r.doc_id: r.ratio for r in catalog.similarity_ratio(spark, str(tmp_path)).collect()} == want
+
+
+def test_word_overlap_pairs_are_all(spark, tmp_path):
+    r = ["apple orchard grows slowly", "River banks; orchard", "a b c", "apple APPLE river slowly orchard"]
+    spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(r)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(0, "the orchard"), (39, "apple"), (40, "slowly river"), (199, "grows Apple")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for i, t in enumerate(r):
+        w = {x for x in t.lower().split() if len(x) > 4}
+        for k, o in items:
+            want[i, k] = round(len(w & set(o.lower().split())) / len(w), 6) if w else 0.0
+    assert {(x.doc_id, x.item_id): x.overlap for x in catalog.word_overlap_pairs(spark, str(tmp_path)).collect()} == want
