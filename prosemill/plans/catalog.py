@@ -303,6 +303,13 @@ def throughput_summary(spark, d):
     return t.select(F.lit("src1").alias("tool"), "min", "max", F.round("avg", 6).alias("avg"), "chars")
 
 
+@query()
+def throughput_by_source(spark, d):
+    """``throughput_summary`` of the documents of every source, one row each."""
+    t = A.throughput_summary(docs(spark, d).groupBy(F.col("source").alias("tool")), "n_chars", "n_chars")
+    return t.select("tool", "min", "max", F.round("avg", 6).alias("avg"), "chars")
+
+
 # Restart.
 
 _PATHS = "'/books/' || source || '/' || doc_id || '-0.txt'"

@@ -100,3 +100,10 @@ def test_word_overlap_pairs_are_all(spark, tmp_path):
         for k, o in items:
             want[i, k] = round(len(w & set(o.lower().split())) / len(w), 6) if w else 0.0
     assert {(x.doc_id, x.item_id): x.overlap for x in catalog.word_overlap_pairs(spark, str(tmp_path)).collect()} == want
+
+
+def test_throughput_by_source_has_all_sources(spark, tmp_path):
+    rows = [(0, "src0", 5), (1, "src1", 7), (2, "src1", 10), (3, None, 4)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(x) for x in catalog.throughput_by_source(spark, str(tmp_path)).collect()}
+    assert got == {("src0", 5, 5, 5.0, 5), ("src1", 7, 10, 8.5, 17), (None, 4, 4, 4.0, 4)}
