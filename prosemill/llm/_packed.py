@@ -43,3 +43,22 @@ def unpack(batches) -> dict[int, pa.Table]:
     for kind, t in tables(batches):
         out.setdefault(kind, []).append(t)
     return {k: pa.concat_tables(v).combine_chunks() for k, v in out.items()}
+
+
+class Held:
+    """Tables with their partitions that are packed together once they make up ``limit`` bytes."""
+
+    def __init__(self, kind: int, compression: str | None = "zstd", limit=1 << 26):
+        self.kind, self.compression, self.limit, self.size, self.parts = kind, compression, limit, 0, []
+
+    def add(self, table: pa.Table, p):
+        """The packed rows, if it is time."""
+        self.parts.append((table, np.asarray(p)))
+        self.size += table.nbytes
+        if self.size >= self.limit:
+            yield from self.rest()
+
+    def rest(self):
+        if self.parts:
+            yield pack(pa.concat_tables([t for t, _ in self.parts]), np.concatenate([p for _, p in self.parts]), self.kind, self.compression)
+            self.parts, self.size = [], 0
