@@ -48,7 +48,7 @@ def unpack(batches) -> dict[int, pa.Table]:
 class Held:
     """Tables with their partitions that are packed together once they make up ``limit`` bytes."""
 
-    def __init__(self, kind: int, compression: str | None = "zstd", limit=1 << 26):
+    def __init__(self, kind: int, compression: str | None = "zstd", limit=1 << 24):
         self.kind, self.compression, self.limit, self.size, self.parts = kind, compression, limit, 0, []
 
     def add(self, table: pa.Table, p):
