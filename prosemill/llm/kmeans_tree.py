@@ -1,36 +1,42 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
 The tree splits vectors into ``BRANCH`` clusters by k-means, level by level, until a leaf
-holds about ``LEAF`` of them; it is trained on a bounded sample (``PER_LEAF`` vectors for a
-leaf, ``SAMPLE`` at most). Every vector lies in the leaf that it reaches by the nearest
-centre at each level. A search keeps the branches not taken in a priority queue by
-distance to their centres and visits leaf after leaf from its head.
+holds about ``LEAF`` of them; it is fitted on a bounded sample (``PER_LEAF`` vectors for a
+leaf, ``SAMPLE`` at most), so that of more than ``SAMPLE`` / ``PER_LEAF`` * ``LEAF``
+vectors leaves hold more. Every vector is indexed: it lies in the leaf that it reaches by
+the nearest centre at each level. A search keeps the branches not taken in a priority
+queue by distance to their centres and visits leaf after leaf from its head.
 
 How many leaves to visit is calibrated: for ``QUERIES`` vectors the true neighbours are
 found by brute force, and visits are widened until ``RECALL`` of them lie in visited
-leaves. All vectors are then searched with that many. Leaves next to each other in the
-tree share a partition, so a query travels once to each partition that holds some of its
-leaves, and there meets them one matrix product a leaf.
+leaves. All queries are then searched with that many, and with more where these hold
+fewer than k others. Leaves next to each other in the tree share a partition, and one with
+very many vectors is split over several, so a query travels once to each partition that
+holds some of its leaves, and there meets them one matrix product a leaf.
 
 Defined results: rows with a null id, a null, empty or not finite vector, or one of
 another length than most, are neither queries nor neighbours; of rows that repeat an id
 the least vector counts; no vector is its own neighbour but equal vectors are each
 other's; ties go to the smaller id; with fewer than k other vectors there are fewer
-neighbours, and none in an empty table. Other columns are not looked at.
+neighbours, and none in an empty table. Vectors may be of any length. Other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm._common import cut
+from prosemill.llm._text import mix
 
 K = 10
 BRANCH = 16
-LEAF = 256
+LEAF = 64
 #: Bounds of the training sample: vectors a leaf, and in all.
 PER_LEAF = 32
 SAMPLE = 200_000
@@ -77,10 +83,6 @@ class Tree:
         self.leaves = np.array(order, np.int64)
         self.name = np.full(len(self.centre), -1, np.int64)
         self.name[self.leaves] = np.arange(len(order))
-        most = max(map(len, self.children))
-        self.kids = np.full((len(self.children), max(most, 1)), -1, np.int64)
-        for v, c in enumerate(self.children):
-            self.kids[v, : len(c)] = c
 
     def _grow(self, v, x, leaf, branch):
         if len(x) <= leaf:
@@ -97,49 +99,41 @@ class Tree:
         for i in range(len(c)):
             self._grow(first + i, x[own == i], leaf, branch)
 
-    def visit(self, q, leaves):
-        """The first ``leaves`` leaves (by name, -1 for none) of each query's best-bin-first search."""
-        leaves = min(leaves, len(self.leaves))
-        out = np.full((len(q), leaves), -1, np.int64)
-        step = max(1, (1 << 22) // len(self.centre))
-        for s in range(0, len(q), step):
-            x = q[s : s + step]
-            n = len(x)
-            # The queue of each query, as a row over all nodes.
-            queue = np.full((n, len(self.centre)), np.inf, np.float32)
-            queue[:, 0] = 0
-            got = np.zeros(n, np.int64)
-            rows = np.arange(n)
-            while len(rows):
-                v = queue[rows].argmin(axis=1)
-                queue[rows, v] = np.inf
-                leaf = self.name[v]
-                hit = leaf >= 0
-                at = rows[hit]
-                out[s + at, got[at]] = leaf[hit]
-                got[at] += 1
-                inner, r = v[~hit], rows[~hit]
-                if len(r):
-                    kids = self.kids[inner]
-                    d = ((x[r][:, None, :] - self.centre[kids]) ** 2).sum(axis=2)
-                    i, j = np.nonzero(kids >= 0)
-                    queue[r[i], kids[i, j]] = d[i, j]
-                rows = rows[got[rows] < leaves]
-        return out
+    def visit(self, q, leaves, counts=None, least=0):
+        """The first ``leaves`` leaves (by name, -1 for none) of each query's best-bin-first search.
+
+        With ``counts`` of the leaves' vectors it goes on until those visited hold ``least``.
+        """
+        out = []
+        for x in q:
+            queue, got, held = [(0.0, 0)], [], 0
+            while queue and (len(got) < leaves or counts is not None and held < least):
+                _, v = heapq.heappop(queue)
+                if self.name[v] >= 0:
+                    got.append(int(self.name[v]))
+                    held += 0 if counts is None else int(counts[self.name[v]])
+                    continue
+                c = self.children[v]
+                for d, k in zip(((self.centre[c] - x) ** 2).sum(axis=1).tolist(), c):
+                    heapq.heappush(queue, (d, k))
+            out.append(got)
+        return np.array([g + [-1] * (max(map(len, out)) - len(g)) for g in out], np.int64).reshape(len(q), -1)
 
     def home(self, x):
         """The leaf in which each vector lies: the first that its own search reaches."""
-        v = np.zeros(len(x), np.int64)
-        live = np.arange(len(x))
-        while len(live):
-            kids = self.kids[v[live]]
-            inner = kids[:, 0] >= 0
-            live, kids = live[inner], kids[inner]
-            for s in range(0, len(live), 8192):
-                a, k = live[s : s + 8192], kids[s : s + 8192]
-                d = np.where(k >= 0, ((x[a][:, None, :] - self.centre[k]) ** 2).sum(axis=2), np.inf)
-                v[a] = k[np.arange(len(a)), d.argmin(axis=1)]
-        return self.name[v]
+        out = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            v, rows = todo.pop()
+            if self.name[v] >= 0:
+                out[rows] = self.name[v]
+                continue
+            c = np.array(self.children[v])
+            own = nearest(x[rows], self.centre[c])
+            order = np.argsort(own, kind="stable")
+            at = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(rows) else []
+            todo.extend((int(c[own[r[0]]]), rows[r]) for r in np.split(order, at[1:]) if len(r))
+        return out
 
 
 def _vectors(col, dim):
@@ -177,25 +171,29 @@ def _exact(ids, q, k):
 
 def calibrate(vectors: DataFrame, tree: Tree, dim, k, queries=QUERIES, recall=RECALL):
     """Leaves to visit, and the recall that they gave on the queries drawn."""
-    drawn = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(queries).collect()
-    ids, q = np.array([r.id for r in drawn], np.int64), np.array([r.v for r in drawn], np.float32).reshape(-1, dim)
-    from pyspark.sql import Window
-
-    near = vectors.mapInArrow(_exact(ids, q, k), "q int, id long, d double, v array<float>").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k).select("q", "v").collect()
-    if not near:
+    drawn = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(queries).toArrow()
+    ids, q = drawn.column("id").to_numpy(), _vectors(drawn.column("v"), dim)
+    near = vectors.mapInArrow(_exact(ids, q, k), "q int, id long, d double, v array<float>").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k).select("q", "v").toArrow()
+    if not near.num_rows:
         return 1, 1.0
-    order = tree.visit(q, len(tree.leaves))
-    rank = np.zeros((len(q), len(tree.leaves)), np.int64)
-    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-    home = tree.home(np.array([r.v for r in near], np.float32).reshape(-1, dim))
-    at = np.sort(rank[[r.q for r in near], home])
-    need = int(np.ceil(recall * len(at)))
-    visits = int(at[need - 1]) + 1
-    return visits, float((at < visits).mean())
-
-
-def neighbours(table: DataFrame, k: int = K, id_col="vec_id", vec_col="embedding", leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): for every vector its k nearest others, by Euclidean distance."""
+    of, home = near.column("q").to_numpy(), tree.home(_vectors(near.column("v"), dim))
+    need, most = int(np.ceil(recall * len(of))), 8
+    while True:
+        # Ranks of the true neighbours' leaves among those visited; the widest look is all leaves.
+        order = tree.visit(q, most)
+        rank = np.where((order[of] == home[:, None]).any(axis=1), (order[of] == home[:, None]).argmax(axis=1), np.iinfo(np.int64).max)
+        at = np.sort(rank)
+        if at[need - 1] < most:
+            visits = int(at[need - 1]) + 1
+            return visits, float((at < visits).mean())
+        most *= 2
+
+
+def neighbours(table: DataFrame, k: int = K, id_col="vec_id", vec_col="embedding", leaf: int = LEAF, recall: float = RECALL, queries=None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for every vector its k nearest others, by Euclidean distance.
+
+    ``queries``, a condition on ``id``, says whose neighbours are asked for; all vectors are neighbours.
+    """
     v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     v = cut(v.groupBy("id").agg(F.min("v").alias("v")))
     empty = v.sparkSession.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
@@ -207,29 +205,45 @@ def neighbours(table: DataFrame, k: int = K, id_col="vec_id", vec_col="embedding
     leaves = max(1, n // leaf)
     take = min(SAMPLE, max(PER_LEAF * leaves, 1024))
     share = v if take >= n else v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(1.1 * take / n * (1 << 20)) + 1)
-    x = np.array([r.v for r in share.select("v").limit(take).collect()], np.float32).reshape(-1, dim)
+    x = _vectors(share.select("v").toArrow().column("v"), dim)
     tree = Tree(x, max(2, len(x) // leaves))
     visits, _ = calibrate(v, tree, dim, k, recall=recall)
-    parts = max(1, min(len(tree.leaves), -(-n // PER_PART)))
-    part_of = np.arange(len(tree.leaves)) * parts // len(tree.leaves)
+
+    def at_home(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(tree.home(_vectors(b.column(1), dim)))], ["leaf"])
+
+    counts = np.zeros(len(tree.leaves), np.int64)
+    for r in v.mapInArrow(at_home, "leaf long").groupBy("leaf").count().collect():  # one row a leaf
+        counts[r["leaf"]] = r["count"]
+    # A leaf's partitions: those with few vectors share one, those with many have several.
+    split = np.maximum(1, -(-counts // PER_PART))
+    part_of = np.where(split == 1, np.cumsum(np.where(split == 1, counts, 0)) // PER_PART, 0)
+    part_of = np.where(split == 1, part_of, int(part_of.max()) + 1 + np.cumsum(np.where(split == 1, 0, split)) - split)
 
     def place(batches):
         for b in batches:
             x = _vectors(b.column(1), dim)
-            home = tree.home(x)
-            yield pa.record_batch([pa.array(part_of[home]), pa.array(home), b.column(0), b.column(1)], ["part", "leaf", "id", "v"])
+            home, ids = tree.home(x), b.column(0)
+            part = part_of[home] + mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.int64) % split[home]
+            yield pa.record_batch([pa.array(part), pa.array(home), ids, b.column(1)], ["part", "leaf", "id", "v"])
 
     def ask(batches):
         for b in batches:
-            x = _vectors(b.column(1), dim)
-            order = np.sort(tree.visit(x, visits), axis=1)
-            p = part_of[order]
-            new = np.ones(p.shape, bool)
-            new[:, 1:] = p[:, 1:] != p[:, :-1]
-            start = np.flatnonzero(new.ravel())
-            row = start // order.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, order.size).astype(np.int32)), pa.array(order.ravel()))
-            yield pa.record_batch([pa.array(p.ravel()[start]), lists, b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["part", "leaves", "id", "v"])
+            if not b.num_rows:
+                continue
+            order = tree.visit(_vectors(b.column(1), dim), visits, counts, k + 1)
+            row, leaf_ = np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+            row, leaf_ = row[leaf_ >= 0], leaf_[leaf_ >= 0]
+            times = split[leaf_]
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            row, leaf_ = np.repeat(row, times), np.repeat(leaf_, times)
+            part = part_of[leaf_] + nth
+            by = np.lexsort((leaf_, part, row))
+            row, leaf_, part = row[by], leaf_[by], part[by]
+            start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(leaf_))
+            yield pa.record_batch([pa.array(part[start]), lists, b.column(0).take(pa.array(row[start])), b.column(1).take(pa.array(row[start]))], ["part", "leaves", "id", "v"])
 
     def meet(base: pa.Table, asked: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
@@ -253,11 +267,12 @@ def neighbours(table: DataFrame, k: int = K, id_col="vec_id", vec_col="embedding
         return pa.table({"vec_id": pa.array([r[0] for r in out], pa.int64()), "d": pa.array([r[2] for r in out], pa.float64()), "n": pa.array([r[1] for r in out], pa.int64())})
 
     base = v.mapInArrow(place, "part long, leaf long, id long, v array<float>")
-    asked = v.mapInArrow(ask, "part long, leaves array<long>, id long, v array<float>")
+    asked = (v if queries is None else v.where(queries)).mapInArrow(ask, "part long, leaves array<long>, id long, v array<float>")
     near = base.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(meet, "vec_id long, d double, n long")
     best = near.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "n"))), 1, k).alias("b"))
     return best.select("vec_id", F.posexplode("b").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.n").alias("neighbor_id"), F.sqrt("x.d").alias("distance"))
 
 
 def op3_kmeans_tree(spark, sf_dir):
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The neighbours of every vector whose id is divisible by 100, among all vectors."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("id") % 100 == 0)

@@ -57,3 +57,26 @@ def test_cases(spark):
     assert T.neighbours(df.where("vec_id = 3")).count() == 0
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     assert T.neighbours(same, k=2, leaf=16).count() == 600
+
+
+def test_recall_of_the_query_and_a_leaf_of_many(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
+    got = T.op3_kmeans_tree(spark, sf_dir).collect()
+    asked = ids % 100 == 0
+    assert {r.vec_id for r in got} == set(ids[asked].tolist()) and len(got) == asked.sum() * T.K
+    d = T._squared(x[asked], x)
+    d[ids[asked][:, None] == ids] = np.inf
+    have = {(r.vec_id, r.neighbor_id) for r in got}
+    want = [(int(i), int(ids[j])) for i, r in zip(ids[asked], d) for j in np.argsort(r, kind="stable")[: T.K]]
+    assert sum(p in have for p in want) >= 0.9 * len(want)
+    # More copies of one vector than a partition takes, and leaves with fewer than k others.
+    r, most = np.random.default_rng(5), T.PER_PART
+    T.PER_PART = 100
+    try:
+        many = [(i, [1.0, 2.0]) for i in range(700)] + [(1000 + i, [float(v) for v in r.normal(size=2) * 50]) for i in range(60)]
+        got = T.neighbours(spark.createDataFrame(many, "vec_id long, embedding array<float>"), k=5, leaf=4, queries="id >= 698").collect()
+    finally:
+        T.PER_PART = most
+    assert sorted((x.rank, x.neighbor_id, x.distance) for x in got if x.vec_id == 699) == [(k + 1, k, 0.0) for k in range(5)]
+    assert len(got) == 62 * 5
