@@ -17,9 +17,10 @@ be among its N best, so a last A* over those words' alternatives is exact too.
 Defined results: a null text gives nulls, an empty one no pieces and one segmentation
 of score 0; a text with fewer than N segmentations has those it has. Ties are broken
 by the order of deviations, first position and shorter piece first. A text's own
-U+2581 is spelt as bytes, so decoding returns every text exactly. Rows are encoded one
-by one: repeated rows agree, an empty table gives an empty one, other columns are not
-looked at.
+U+2581 is spelt as bytes, so decoding returns every text exactly. Texts may be of any
+length, with or without spaces; a long word takes time and memory in proportion. Rows are
+encoded one by one: repeated rows agree, an empty table gives an empty one, other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _OWN = 0x110001
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _BYTE0 = 3
+#: Fewer words than this are solved with all sizes in a step.
+_FEW = 64
 SCHEMA = "doc_id long, n_tokens int, score double, ids array<int>, nbest array<struct<rank: int, score: double, changes: array<struct<at: int, drop: int, add: array<int>>>>>, decodes boolean"
 
 
@@ -125,6 +128,25 @@ class Pieces:
         if (order != np.arange(n)).any():
             raise ValueError("words must come longest first")
         live = np.searchsorted(-length, -np.arange(1, m + 1), side="right")
+        if n < _FEW:
+            # Of few words, which may be long, all pieces are looked up at once, and a step weighs all sizes.
+            weights = np.full(ids.shape, -np.inf)
+            for size in range(1, len(ids) + 1):
+                i = self.lookup((sums[size:] - sums[: m + 1 - size]) * inverse[: m + 1 - size, None], size)
+                if size == 1:
+                    i = np.where(i > self.unk, self.unk, i)
+                ids[size - 1, : m + 1 - size] = i
+                weights[size - 1, : m + 1 - size] = self.score[i]
+            for e in range(1, m + 1):
+                k, top = live[e - 1], min(len(ids), e)
+                sizes = np.arange(top)
+                c = f[e - 1 - sizes, :k] + weights[sizes, e - 1 - sizes, :k]
+                by = c.argmax(axis=0)
+                f[e, :k], best[e, :k] = c[by, np.arange(k)], by + 1
+                if top > 1:
+                    c[by, np.arange(k)] = -np.inf
+                    short[e, :k] = f[e, :k] - c.max(axis=0)
+            return f, best, short, ids
         for e in range(1, m + 1):
             k = live[e - 1]
             top, second = np.full(k, -np.inf), np.full(k, -np.inf)
@@ -147,26 +169,37 @@ class Pieces:
         """The byte pieces of an unknown character."""
         return [b + _BYTE0 for b in chr(_SPACE if cp == _OWN else cp).encode("utf-8", "surrogatepass")]
 
-    def search(self, f, ids, n, want=N):
-        """The ``want`` best paths of one word: [(shortfall, [(start, id), ...])], by backward A*."""
-        m = n
-        heap, out, tick = [(0.0, 0, m, ())], [], 1
+    def search(self, f, best, ids, n, want=N):
+        """The ``want`` best paths of one word: [(shortfall, [(start, id), ...])], by backward A*.
+
+        As every waiting deviation is a path of its own, of known shortfall, only the best
+        ones of each path can be wanted.
+        """
+        heap, out, tick = [(0.0, 0, n, ())], [], 1
+        sizes = np.arange(1, min(len(ids), n) + 1)
         while heap and len(out) < want:
             lost, _, e, tail = heapq.heappop(heap)
+            nodes, tails = [], []
             while e:
-                go = None
-                for size in range(1, min(len(ids), e) + 1):
-                    s = e - size
-                    i = int(ids[size - 1][s])
-                    if i > self.unk or f[s] == -np.inf:
-                        continue
-                    more = f[e] - f[s] - self.score[i]
-                    if go is None and more == 0:
-                        go = (s, ((s, i), tail))
-                    else:
-                        heapq.heappush(heap, (lost + more, tick, s, ((s, i), tail)))
+                nodes.append(e)
+                tails.append(tail)
+                s = e - int(best[e])
+                e, tail = s, ((s, int(ids[int(best[e]) - 1, s])), tail)
+            if nodes:
+                at = np.array(nodes)
+                start = at[:, None] - sizes
+                i = np.where(start >= 0, ids[sizes - 1, np.maximum(start, 0)], self.unk + 1)
+                with np.errstate(invalid="ignore"):
+                    more = np.where((i <= self.unk) & (sizes != best[at][:, None]), f[at][:, None] - f[np.maximum(start, 0)] - self.score[i], np.inf).ravel()
+                more[np.isnan(more)] = np.inf
+                left = want - len(out) - 1
+                some = np.flatnonzero(more <= np.partition(more, left - 1)[left - 1]) if 0 < left < len(more) else np.arange(len(more) if left else 0)
+                for k in some[np.argsort(more[some], kind="stable")][:left].tolist():
+                    if more[k] < np.inf:
+                        n_, size = divmod(k, len(sizes))
+                        s = nodes[n_] - size - 1
+                        heapq.heappush(heap, (lost + max(float(more[k]), 0.0), tick, s, ((s, int(i[n_, size])), tails[n_])))
                         tick += 1
-                e, tail = go
             path = []
             while tail:
                 path.append(tail[0])
@@ -235,7 +268,7 @@ class Block:
                 chars = self.chars[np.minimum(self.start[where[w]][:, None] + col, len(self.chars) - 1)]
                 f, best, short, ids = p.viterbi(chars, k)
                 self.group[w, 0], self.group[w, 1] = len(self.lattice), np.arange(len(w))
-                self.lattice.append((f, ids, chars))
+                self.lattice.append((f, best, ids, chars))
                 i = np.arange(len(w))
                 self.total[w] = f[k, i]
                 e, step_no = k.copy(), 0
@@ -273,10 +306,10 @@ class Block:
         """[(shortfall, ids)] of a distinct word, best first."""
         if (have := self._known.get(word)) is None:
             g, i = self.group[word]
-            f, ids, chars = self.lattice[g]
+            f, best, ids, chars = self.lattice[g]
             n = int(np.flatnonzero(f[:, i] > -np.inf)[-1])
             have = []
-            for lost, path in self.p.search(f[: n + 1, i].tolist(), ids[:, :n, i].tolist(), n, want):
+            for lost, path in self.p.search(f[: n + 1, i], best[: n + 1, i], ids[:, :n, i], n, want):
                 out = []
                 for s, x in path:
                     out.extend(self.p.spell(int(chars[i, s])) if x == self.p.unk else [x])

@@ -82,3 +82,36 @@ def test_round_trip_and_cases(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = P.decode(P.encode(docs), out_col="again").join(docs, "doc_id")
     assert got.where("not decodes or again <> text").count() == 0 and got.count() == docs.count()
+
+
+def test_scores_that_are_fractions():
+    p = P.Pieces(CONTENT)
+    r = np.random.default_rng(3)
+    p.score[259:-2] = -r.random(len(p.score) - 261) * 3 - 0.1
+    p.score[-2] = p.score[259:-2].min() - 10
+    ids = {p_: i for i, p_ in enumerate(sentencepiece.SentencePieceProcessor(model_proto=CONTENT).id_to_piece(list(range(p.size)))) if i >= 259}
+    for text in ("x", "ab", "enough", "tzschü", "of words"):
+        raw = text.encode()
+        b = P.Block(p, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        _, upto, score = b.best()
+        got = [float(score[b.first_word[1]])] + [float(score[b.first_word[1]]) - lost for lost, _ in b.alternatives(0, 4, upto)]
+        t = "▁" + text.replace(" ", "▁")
+        want = []
+        for cuts in itertools.product([0, 1], repeat=len(t) - 1):
+            at = [0, *(k for k, c in enumerate(cuts, 1) if c), len(t)]
+            parts = [t[a:z] for a, z in zip(at, at[1:])]
+            if all(x in ids or len(x) == 1 for x in parts):
+                want.append(sum(p.score[ids.get(x, p.unk)] for x in parts))
+        np.testing.assert_allclose(got, sorted(want, reverse=True)[:4], atol=1e-9)
+
+
+def test_a_long_word_without_spaces():
+    import time
+
+    r = random.Random(4)
+    t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.time()
+    (got,) = run([t])
+    assert got["decodes"] and len(got["nbest"]) == P.N and time.time() - began < 60
+    short = run([t[:300]])[0]
+    assert short["nbest"][0]["score"] >= short["nbest"][1]["score"]
