@@ -18,7 +18,8 @@ are joined; connected groups are the result and their least id is kept.
 Defined results: null, empty and wordless texts are in no group; exact copies (and
 repeated rows with different ids) have equal signatures and always form a group; rows
 that repeat one id are one document for the grouping, near whatever one of its texts
-is near; rows with a null id are in no group. Other columns are not looked at.
+is near; rows with a null id are in no group; an empty table has no groups. Texts may be
+of any length. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm._common import connected_components, cut
+from prosemill.llm._common import connected_components, cut, unused
 from prosemill.llm._text import SpanHasher, buffers, mix, row_blocks, word_spans
 
 K = 96
@@ -171,55 +172,99 @@ def least_equal(threshold=THRESHOLD):
 def bucket_edges(threshold):
     need = least_equal(threshold)
 
-    def edges(batches):
-        """Within each bucket, each document that a walk over close pairs reaches, with the bucket's start of the walk.
+    def walked(ids, sig, group):
+        """Pairs of a bucket's documents that join its groups: each document that a walk over close pairs reaches, with its start.
 
-        A document is compared with all that no walk has reached yet, so copies by the
-        thousand take one comparison each, and no close pair is left unjoined.
+        A walk goes on from all documents of the groups that it reaches, and compares them
+        with those of no walk yet, so that no close pair is left unjoined.
         """
-        for batch in batches:
+        a, b, left = [], [], np.arange(len(ids))
+        while len(left) and (group[left] != group[left[0]]).any():
+            root = left[0]
+            own = group[left] == group[root]
+            todo, left = left[own].tolist(), left[~own]
+            while todo and len(left):
+                at = todo.pop()
+                hit = np.concatenate([(sig[left[s : s + 8192]] == sig[at]).sum(axis=1) >= need for s in range(0, len(left), 8192)])
+                if hit.any():
+                    near = np.unique(group[left[hit]])
+                    a.extend(ids[left[hit]].tolist())
+                    b.extend([ids[root]] * int(hit.sum()))
+                    found = np.isin(group[left], near)
+                    todo.extend(left[found].tolist())
+                    left = left[~found]
+        return a, b
+
+    def edges(batches):
+        """Of rows (k, id, group, sig) sorted by k, bucket by bucket."""
+        held = None
+        for batch in [*batches, None]:
+            t = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if t is None or not t.num_rows:
+                continue
+            k = t.column("k").to_numpy()
+            whole = len(k) if batch is None else int(np.searchsorted(k, k[-1]) if (k[1:] >= k[:-1]).all() else 0)
+            held = t.slice(whole)
+            if not whole:
+                continue
+            t, k = t.slice(0, whole), k[:whole]
+            ids, group = t.column("id").to_numpy(), t.column("group").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+            at = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)).tolist()
             a, b = [], []
-            for ids, sigs in zip(batch.column(0), batch.column(1)):
-                ids = ids.values.to_numpy(zero_copy_only=False)
-                sig = np.frombuffer(b"".join(sigs.values.to_pylist()), np.uint8).reshape(-1, K)
-                order = np.argsort(ids, kind="stable")
-                ids, sig = ids[order], sig[order]
-                left = np.arange(len(ids))
-                while len(left) > 1:
-                    root, todo, left = left[0], [left[0]], left[1:]
-                    while todo and len(left):
-                        at = todo.pop()
-                        hit = np.zeros(len(left), bool)
-                        for s in range(0, len(left), 8192):
-                            hit[s : s + 8192] = (sig[left[s : s + 8192]] == sig[at]).sum(axis=1) >= need
-                        found, left = left[hit], left[~hit]
-                        todo.extend(found)
-                        a.append(ids[found])
-                        b.append(np.full(len(found), ids[root]))
-            yield pa.record_batch([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
+            for x, y in zip(at, at[1:]):
+                if y - x > 1:
+                    more = walked(ids[x:y], sig[x:y], group[x:y])
+                    a += more[0]
+                    b += more[1]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return edges
 
 
+def equal_bytes(a, b):
+    """A column function: how many bytes two signatures share."""
+
+    def count(pairs):
+        for x, y in pairs:
+            m = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, K) for c in (x, y)]
+            yield pa.array((m[0] == m[1]).sum(axis=1), pa.int32())
+
+    from collections.abc import Iterator
+
+    count.__annotations__ = {"pairs": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(count, "int")(a, b)
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD) -> DataFrame:
     """(doc_id, kept_doc_id) for every document that goes: it is near kept_doc_id, directly or through others."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("t")).where("id is not null and t is not null")
     signed = src.mapInArrow(sign, "id long, sig binary, keys array<long>, w1 long, w2 long")
+    signed = cut(signed)
     # Equal signatures are one class; only its least id goes on to the buckets.
-    classes = cut(signed.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.collect_set("id").alias("ids")).drop("w1", "w2"))
-    copies = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    classes = cut(signed.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    copies = signed.select("id", "w1", "w2").join(classes.where("n > 1").select("w1", "w2", "rep"), ["w1", "w2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     own = classes.select(F.col("rep").alias("id"), "sig", "keys")
-    shared = own.select("id", F.explode("keys").alias("k")).groupBy("k").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("k", F.explode("ids").alias("id"))
-    buckets = shared.join(own.select("id", "sig"), "id").groupBy("k").agg(F.collect_list("id").alias("ids"), F.collect_list("sig").alias("sigs")).select("ids", "sigs")
-    edges = buckets.mapInArrow(bucket_edges(threshold), "a long, b long").unionByName(copies)
-    groups = connected_components(edges)
+    keys = own.select("id", F.explode("keys").alias("k"))
+    # First each document of a bucket is compared with its least one, then those that are in different groups still.
+    bucket = keys.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "least")
+    members = cut(keys.join(bucket, "k"))
+    sig = own.select("id", "sig")
+    first = members.where("id <> least").select("id", "least").distinct().join(sig, "id").join(sig.select(F.col("id").alias("least"), F.col("sig").alias("other")), "least")
+    near = cut(first.where(equal_bytes(F.col("sig"), F.col("other")) >= least_equal(threshold)).select(F.col("id").alias("a"), F.col("least").alias("b")))
+    group = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    rows = members.select("k", "id").join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    mixed = rows.groupBy("k").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("k")
+    rest = rows.join(mixed, "k").join(sig, "id").select("k", "id", "group", "sig").repartition("k").sortWithinPartitions("k", "id").mapInArrow(bucket_edges(threshold), "a long, b long")
+    groups = connected_components(near.unionByName(rest).unionByName(copies))
     return groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group; all columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (key,) = unused(docs.columns, "gone")
+    gone = near_duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op4_dart_minhash(spark, sf_dir):

@@ -16,8 +16,8 @@ one takes more passes over the documents, each as the first. No row is shuffled.
 Defined results: null, empty and short texts match nothing; an item of less than
 ``LEAST`` normal bytes says too little and is left out, as are null ones; equal items
 under different ids are all reported; rows that repeat an id are judged one by one and
-reported once each; an empty table on either side gives an empty result. Other columns
-are not looked at.
+reported once each; an empty table on either side gives an empty result. Texts may be of
+any length. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.llm._common import unused
 from prosemill.llm._text import buffers, row_blocks
 
 WINDOW = 64
@@ -250,8 +251,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", share=EDITS) -> DataFrame:
     """``docs`` without the documents that hold some window of an item; all columns unchanged. Rows with a null id or text stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col, share=share).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (key,) = unused(docs.columns, "gone")
+    gone = contaminated(docs, benchmark, id_col, text_col, share=share).select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op7_qgram_leaks(spark, sf_dir):

@@ -58,3 +58,21 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    r = random.Random(8)
+    words = [prose(r, 1) for _ in range(500)]
+    item = texts(r, words, 14)
+    long = texts(r, words, 30_000)
+    rows = [(i, texts(r, words, 60) + "\n" + texts(r, words, 9)) for i in range(6)] + [(10, long), (11, long + " end"), (12, texts(r, words, 20) + " " + item), (13, None), (14, "")]
+    names = ["_gone", "gone", "_id", "id", "kept", "line", "lang_", "_V", "component", "a"]
+    docs = spark.createDataFrame([(i, t, "a", "s", len(t or ""), *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, f in C.STAGES[1:-1]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        got = {x.doc_id: x for x in out.collect()}
+        assert all(got[i]._gone == 0 and got[i].a == len(names) - 1 for i in got)
+        assert set(got) == {i for i, _ in rows} - ({11} if name != "decontamination" else {12})
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).where("decodes").count() == len(rows) - 1
