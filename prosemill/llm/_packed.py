@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from prosemill.llm._text import mix
+
 SCHEMA = "p int, kind int, data binary"
 
 
@@ -62,3 +64,40 @@ class Held:
         if self.parts:
             yield pack(pa.concat_tables([t for t, _ in self.parts]), np.concatenate([p for _, p in self.parts]), self.kind, self.compression)
             self.parts, self.size = [], 0
+
+
+def spread(a, parts):
+    """A partition for each number."""
+    with np.errstate(over="ignore"):
+        return ((mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def sent(parts, kind):
+    """A function of rows: the same, packed by their first column."""
+
+    def run(batches):
+        held = Held(kind)
+        for b in batches:
+            if b.num_rows:
+                yield from held.add(pa.Table.from_batches([b]), spread(b.column(0).to_numpy(), parts))
+        yield from held.rest()
+
+    return run
+
+
+def wished(batches):
+    """(table of all wishes, rows by their first column, packed others one by one), wishes being kind 0 and coming first."""
+    wishes, by = [], {}
+    for kind, t in tables(batches):
+        if not kind:
+            wishes.append(t)
+            continue
+        if wishes is not None:
+            if not wishes:
+                return
+            wish, wishes = pa.concat_tables(wishes).combine_chunks(), None
+            key = wish.column(0).to_numpy()
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            by = dict(zip(key[order][at].tolist(), np.split(order, at[1:])))
+        yield wish, by, t

@@ -10,7 +10,10 @@ order and with its neighbours in the order of what precedes; matches are extende
 the right and to the left by up to ``WINDOW`` bytes and count if they make up ``LEAST``.
 Sorting is done in hash partitions of the first ``KEY`` bytes: all suffixes that can
 match meet there. A match that goes on beyond that is carried on by the next retained
-suffix, so bounded contexts lose nothing of it.
+suffix, so bounded contexts lose nothing of it. Suffixes of one task with equal KEY and
+contexts are matched there, and one of them goes on, so that copies by the million don't
+meet in one task; nor do equal KEYs of one task when they are counted. Rows travel packed,
+one binary value a partition. KEYs are equal by two hashes of 96 bits together.
 
 A window of ``WINDOW`` places, and ``KEY`` bytes from any of them on, make up ``LEAST``,
 so every passage of at least LEAST bytes retains a suffix that its other occurrence
@@ -22,16 +25,20 @@ and no stretch shorter than LEAST.
 Defined results: null and short texts have no passages; a repeat within one document
 counts; rows that repeat a document id are one document each, whose equal suffixes at
 equal places are one occurrence, so that a row and its copy of the same id are no
-repeat. Rows with a null id are not looked at, nor are other columns.
+repeat. Rows with a null id are not looked at, nor are other columns, whatever their
+names. An empty table has no passages. Texts may be of any length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.llm._packed import SCHEMA as PACKED
+from prosemill.llm._packed import Held, pack, partitions, sent, spread, unpack, wished
 from prosemill.llm._text import SpanHasher, buffers, row_blocks
 
 SEED = 16
@@ -41,8 +48,10 @@ LEAST = 100
 KEY = LEAST - WINDOW + 1
 #: Suffixes of equal KEY that are compared with one another, beyond neighbours by either context.
 NEAR = 8
-#: Rows of equal KEY that are held back to be sorted as a whole.
-HELD = 20_000
+#: Rows that are compared at once, a run of one KEY being kept whole.
+HELD = 100_000
+#: Suffixes of a task that are counted before they are sent.
+COUNTED = 1 << 19
 
 
 def minimisers(h, off, seed=SEED, window=WINDOW):
@@ -98,42 +107,129 @@ def places(data, off, hasher):
     return row, at - off[row], hasher.spans(at, at + KEY)
 
 
-def suffixes(batches):
-    """(id, place, h) of every retained suffix."""
-    hasher = SpanHasher(41)
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, off = buffers(batch.column(1))
-        for i, j in row_blocks(off):
-            row, place, h = places(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
-            yield pa.record_batch([pa.array(ids[i:j][row]), pa.array(place), pa.array(h.view(np.int64))], ["id", "place", "h"])
-
-
-def contexts(batches):
-    """(h, right, left, id, place, size) of documents' suffixes at given places: bytes after KEY, bytes before, backwards."""
-    hasher = SpanHasher(41)
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, off = buffers(batch.column(1))
-        lists = batch.column(2)
-        first = lists.offsets.to_numpy()
-        spots = lists.flatten().to_numpy(zero_copy_only=False)
-        first = first - first[0]
-        for i, j in row_blocks(off):
-            block, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-            place = spots[first[i] : first[j]]
-            # Rows that repeat an id have different texts; a place may lie beyond this one's.
-            ok = place + KEY <= at[row + 1] - at[row]
-            row, place = row[ok], place[ok]
-            s = place + at[row]
-            h = hasher.load(block).spans(s, s + KEY)
-            e = np.minimum(s + KEY + WINDOW, at[row + 1])
-            b = np.maximum(s - WINDOW, at[row])
-            raw, turned, n = block.tobytes(), block[::-1].tobytes(), len(block)
-            right = [raw[x:y] for x, y in zip((s + KEY).tolist(), e.tolist())]
-            left = [turned[n - y : n - x] for x, y in zip(b.tolist(), s.tolist())]
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(ids[i:j][row]), pa.array(place)], ["h", "right", "left", "id", "place"])
+def _runs(*columns):
+    """Where runs of equal rows of sorted columns begin, as a mask."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    if n:
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def suffixes(parts):
+    """A function of texts: packed rows of retained suffixes (kind 0), one for each KEY of a task, and of those that share their KEY with others of the task (kind 1)."""
+
+    def send(found):
+        ids, place, h = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, ids, h))
+        ids, place, h = ids[order], place[order], h[order]
+        keep = _runs(h, ids, place)
+        ids, place, h = ids[keep], place[keep], h[keep]
+        at = np.flatnonzero(_runs(h))
+        size = np.diff(np.append(at, len(h)))
+        t = pa.table([pa.array(h[at]), pa.array(ids[at]), pa.array(place[at].astype(np.int32)), pa.array(size > 1)], ["h", "id", "place", "known"])
+        yield pack(t, spread(h[at], parts), 0)
+        many = np.repeat(size > 1, size)
+        if many.any():
+            yield pack(pa.table([pa.array(ids[many]), pa.array(place[many].astype(np.int32))], ["id", "place"]), spread(ids[many], parts), 1)
+
+    def run(batches):
+        hasher, found, held = SpanHasher(41), [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, off = buffers(batch.column(1))
+            for i, j in row_blocks(off):
+                row, place, h = places(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
+                found.append((ids[i:j][row], place, h))
+                held += len(row)
+                if held >= COUNTED:
+                    yield from send(found)
+                    found, held = [], 0
+        if held:
+            yield from send(found)
+
+    return run
+
+
+def often(parts):
+    """A function of packed suffixes: the packed (id, place) of those whose KEY occurs more than once (kind 0)."""
+
+    def run(batches):
+        kinds = unpack(batches)
+        wishes = [kinds[1]] if 1 in kinds else []
+        if t := kinds.get(0):
+            h, ids, place, known = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "id", "place", "known"))
+            order = np.lexsort((known, place, ids, h))
+            h, ids, place, known = h[order], ids[order], place[order], known[order]
+            same = _runs(h, ids, place)
+            at = np.flatnonzero(_runs(h))
+            n = np.add.reduceat(same.astype(np.int64), at)
+            some = np.repeat(n > 1, np.diff(np.append(at, len(h)))) & ~known & same
+            wishes.append(pa.table([pa.array(ids[some]), pa.array(place[some])], ["id", "place"]))
+        if wishes and (t := pa.concat_tables(wishes)).num_rows:
+            yield pack(t, spread(t.column("id").to_numpy(), parts), 0)
+
+    return run
+
+
+def contexts(parts):
+    """A function of packed wishes (id, place), which come first, and texts: the suffixes with what follows KEY and what precedes, backwards (kind 0), and stretches found in the task (kind 1)."""
+
+    def send(held):
+        h, g, ids, place, right, left = held
+        t = pa.table([pa.array(np.concatenate(h)), pa.array(np.concatenate(g)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(place))], ["h", "g", "right", "left", "id", "place"])
+        first: dict[tuple, int] = {}
+        of = np.array([first.setdefault(k, n) for n, k in enumerate(zip(t.column("h").to_pylist(), t.column("g").to_pylist(), right, left))])
+        copies = np.flatnonzero(of != np.arange(len(of)))
+        if len(copies):
+            i, p = t.column("id").to_numpy(), t.column("place").to_numpy()
+            # Rows that repeat an id and a text are one occurrence.
+            copies = copies[(i[copies] != i[of[copies]]) | (p[copies] != p[of[copies]])]
+            b, r = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+            copies = copies[b[copies] + KEY + r[copies] >= LEAST]
+            x, y = np.concatenate((copies, of[copies])), np.concatenate((of[copies], copies))
+            yield pack(pa.table([pa.array(i[x]), pa.array(p[x] - b[x]), pa.array(p[x] + KEY + r[x]), pa.array(i[y])], STRETCH), spread(i[x], parts), 1)
+        t = t.take(pa.array(np.flatnonzero(of == np.arange(len(of)))))
+        yield pack(t, spread(t.column("h").to_numpy(), parts), 0)
+
+    def run(batches):
+        one, two = SpanHasher(41), SpanHasher(43)
+        held, size = ([], [], [], [], [], []), 0
+        for wish, by, t in wished(batches):
+            at_place = wish.column("place").to_numpy()
+            ids = t.column(0).to_numpy()
+            data, off = buffers(t.column(1))
+            for i, j in row_blocks(off):
+                block, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                spots = [np.unique(at_place[by[x]]).astype(np.int64) if x in by else np.zeros(0, np.int64) for x in ids[i:j].tolist()]
+                row, place = np.repeat(np.arange(j - i), [len(x) for x in spots]), np.concatenate(spots)
+                # Rows that repeat an id have different texts; a place may lie beyond this one's.
+                ok = place + KEY <= at[row + 1] - at[row]
+                row, place = row[ok], place[ok]
+                if not len(row):
+                    continue
+                s = place + at[row]
+                e, b = np.minimum(s + KEY + WINDOW, at[row + 1]), np.maximum(s - WINDOW, at[row])
+                raw, turned, n = block.tobytes(), block[::-1].tobytes(), len(block)
+                held[0].append(one.load(block).spans(s, s + KEY))
+                held[1].append((two.load(block).spans(s, s + KEY) >> np.uint64(32)).astype(np.uint32))
+                held[2].append(ids[i:j][row])
+                held[3].append(place)
+                held[4].extend(raw[x:y] for x, y in zip((s + KEY).tolist(), e.tolist()))
+                held[5].extend(turned[n - y : n - x] for x, y in zip(b.tolist(), s.tolist()))
+                size += len(row)
+                if size >= HELD:
+                    yield from send(held)
+                    held, size = ([], [], [], [], [], []), 0
+        if size:
+            yield from send(held)
+
+    return run
+
+
+STRETCH = ["id", "start", "end", "partner"]
 
 
 def _matrix(col):
@@ -188,48 +284,63 @@ def compared(t):
         same = h[i[1:]] == h[i[:-1]]
         take(i[:-1][same], i[1:][same])
     some = end > place
-    return pa.record_batch([pa.array(ids[some]), pa.array(start[some]), pa.array(end[some]), pa.array(partner[some])], ["id", "start", "end", "partner"])
+    return pa.table([pa.array(ids[some]), pa.array(start[some]), pa.array(end[some]), pa.array(partner[some])], STRETCH)
 
 
-def neighbours(batches):
-    """``compared`` of suffixes in sorted order, runs of one KEY being kept whole up to HELD rows."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t])
-        h = t.column("h").to_numpy()
-        last = int(np.searchsorted(h, h[-1]))
-        if len(h) - last > HELD:
-            yield compared(t)
-            held = t.slice(len(h) - NEAR)
-        else:
-            if last:
-                yield compared(t.slice(0, last))
-            held = t.slice(last)
-    if held is not None:
-        yield compared(held)
+def neighbours(parts):
+    """A function of packed suffixes: ``compared`` of them in sorted order, packed by document with the stretches that were found before."""
+
+    def run(batches):
+        kinds = unpack(batches)
+        if 1 in kinds:
+            yield pack(kinds[1], spread(kinds[1].column("id").to_numpy(), parts), 0)
+        if t := kinds.get(0):
+            t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("h", "g", "right", "left", "id", "place")]))
+            # From here on a number names what both hashes do.
+            key = np.cumsum(_runs(t.column("h").to_numpy(), t.column("g").to_numpy()))
+            t = t.drop_columns(["h", "g"]).append_column("h", pa.array(key))
+            at = np.append(np.flatnonzero(_runs(key)), len(key))
+            x, held = 0, Held(0)
+            while x < len(key):
+                y = max(int(at[np.searchsorted(at, x, side="right")]), int(at[np.searchsorted(at, x + HELD, side="right") - 1]))
+                out = merged_table(compared(t.slice(x, y - x).combine_chunks()))
+                yield from held.add(out, spread(out.column("id").to_numpy(), parts))
+                x = y
+            yield from held.rest()
+
+    return run
 
 
 def shared_stretches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, start, end, partner): stretches of retained suffixes that occur again in ``partner``."""
+    """Packed (id, start, end, partner): stretches of retained suffixes that occur again in ``partner``."""
+    parts = partitions(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
-    found = src.mapInArrow(suffixes, "id long, place long, h long")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = found.join(often.hint("shuffle_hash"), "h", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
-    rows = src.join(wanted, "id").select("id", "t", "places").mapInArrow(contexts, "h long, right binary, left binary, id long, place long")
-    ordered = rows.repartition("h").sortWithinPartitions("h", "right", "left", "id", "place")
-    return ordered.mapInArrow(neighbours, "id long, start long, end long, partner long")
+    wishes = src.mapInArrow(suffixes(parts), PACKED).repartitionById(parts, "p").mapInArrow(often(parts), PACKED)
+    both = wishes.unionByName(src.mapInArrow(sent(parts, 1), PACKED)).repartitionById(parts, "p").sortWithinPartitions("kind")
+    return both.mapInArrow(contexts(parts), PACKED).repartitionById(parts, "p").mapInArrow(neighbours(parts), PACKED)
 
 
 def duplicate_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, start, end, partner_doc_id): maximal stretches of bytes that occur more than once.
 
     Stretches that overlap or touch are one; ``partner_doc_id`` is the least document
-    that shares some part of it.
+    that it was found to share some part with.
     """
-    return shared_stretches(docs, id_col, text_col).repartition("id").sortWithinPartitions("id", "start").mapInArrow(merged, "doc_id long, start long, end long, partner_doc_id long")
+    found = shared_stretches(docs, id_col, text_col).repartitionById(partitions(docs), "p")
+    return found.mapInArrow(whole_stretches, "doc_id long, start long, end long, partner_doc_id long")
+
+
+def merged_table(t):
+    """Unions of a table's stretches."""
+    t = t.take(pc.sort_indices(t, [("id", "ascending"), ("start", "ascending")])).combine_chunks()
+    out = [b for b in merged(t.to_batches()) if b.num_rows]
+    return pa.Table.from_batches(out).rename_columns(STRETCH) if out else t
+
+
+def whole_stretches(batches):
+    if t := unpack(batches).get(0):
+        for b in merged_table(t).rename_columns(["doc_id", "start", "end", "partner_doc_id"]).to_batches():
+            yield b
 
 
 def merged(batches):
