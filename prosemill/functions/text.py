@@ -70,6 +70,17 @@ def lines_joined(c, first, last) -> Column:
     return F.array_join(F.slice(parts, first, last - first + 1), " ")
 
 
+def region_verbatim(lines, span) -> Column:
+    """What a span covers of a text's lines, breaks and all: lines and columns from 1, the end column excluded. Null where its first line is not there."""
+    lines, s = (F.col(x) if isinstance(x, str) else x for x in (lines, span))
+    one = F.get(lines, s["start_line"] - 1).substr(s["start_col"], s["end_col"] - s["start_col"])
+    # Lines in between stay whole, and of the last one so many columns are taken.
+    between = F.slice(lines, s["start_line"] + 1, F.greatest(s["end_line"] - s["start_line"] - 1, F.lit(0)))
+    first = F.get(lines, s["start_line"] - 1).substr(s["start_col"], F.lit(2**31 - 1))
+    last = F.get(lines, s["end_line"] - 1).substr(F.lit(1), s["end_col"] - 1)
+    return F.when(s["start_line"] == s["end_line"], one).otherwise(F.array_join(F.concat(F.array(first), between, F.array(last)), "\n"))
+
+
 def complexity_a(c) -> Column:
     """dialog, abbreviation, complex or normal: the first that a sentence shows, by the wide patterns."""
     return (

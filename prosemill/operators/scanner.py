@@ -90,10 +90,17 @@ def break_rejected(text, at):
 
 def ends_with_title(content):
     """Whether trimmed content's last word, without quotes around it, is a title or an initial."""
-    words = content[-64:].replace("\x1c", "_").replace("\x1d", "_").replace("\x1e", "_").replace("\x1f", "_").split()
+    words = _words(content[-64:])
+    if len(words) == 1 and len(content) > 64:
+        # The last word may begin before that.
+        words = _words(content)
     return bool(words) and words[-1].strip(P.QUOTES) in _TITLES
 
 
+def _words(s):
+    return s.replace("\x1c", "_").replace("\x1d", "_").replace("\x1e", "_").replace("\x1f", "_").split()
+
+
 def _context(text, a, b):
     n = 0
     while a and n < P.CONTEXT:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +19,29 @@ from prosemill.functions import patterns as P
 from prosemill.functions.text import normalize
 from prosemill.operators.scanner import line_breaks, position, scan
 
-_SPAN = "struct<start:int,stop:int,start_line:int,start_col:int,end_line:int,end_col:int>"
+_SPAN = "struct<raw:string,start_line:int,start_col:int,end_line:int,end_col:int>"
+_TRACED = _SPAN[:-1] + ",sent_index:int,step:int,state_before:string,state_after:string,transition:string,matched:string,pattern:string,seam:string>"
 _STEP = "struct<sent_index:int,state_before:string,state_after:string,transition:string,matched:string,pattern:string,seam:string>"
 #: Noncharacters that mark boundaries in between; texts have no use for them.
 _STOP, _GO = "\ufdd0", "\ufdd1"
 
+_ARRAYS = {"raw": "array<string>", "spans": f"array<{_SPAN}>", "trace": f"array<{_STEP}>", "traced": f"array<{_TRACED}>", "count": "int"}
+
+
+def _with_steps(spans, trace):
+    """Each sentence with its transitions, of which it has none or more; those behind the last sentence belong to none."""
+    k = 0
+    for n, s in enumerate(spans):
+        first = k
+        while k < len(trace) and trace[k][0] == n:
+            yield (*s, n, k, *trace[k][1:])
+            k += 1
+        if k == first:
+            yield (*s, n, None, "Unknown", "Unknown", "Unknown", "", "Unknown", "no_seam_text")
+
 
 def _scanned(kind):
-    """An Arrow function text -> array of raw sentences, spans or transitions, or the count of sentences."""
+    """An Arrow function text -> array of raw sentences, sentences with spans, transitions, or sentences with both; or the count of sentences."""
 
     def run(cols):
         for col in cols:
@@ -45,23 +59,23 @@ def _scanned(kind):
                     out.extend(t[a:b] for a, b in scan(t))
                 else:
                     breaks = line_breaks(t)
-                    out.extend((a, b, *position(breaks, a), *position(breaks, b)) for a, b in scan(t))
+                    trace = [] if kind == "traced" else None
+                    spans = [(t[a:b], *position(breaks, a), *position(breaks, b)) for a, b in scan(t, trace)]
+                    out.extend(spans if trace is None else _with_steps(spans, trace))
                 sizes.append(len(out))
             if kind == "count":
                 yield pa.array(sizes[1:], pa.int32())
                 continue
             if kind == "raw":
                 values = pa.array(out, pa.string())
-            elif kind == "spans":
-                table = np.array(out, np.int32).reshape(-1, 6)
-                values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(6)], ["start", "stop", "start_line", "start_col", "end_line", "end_col"])
             else:
-                names = ["sent_index", "state_before", "state_after", "transition", "matched", "pattern", "seam"]
-                values = pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int32() if k == 0 else pa.string()) for k in range(7)], names)
+                names, kinds = zip(*(f.split(":") for f in _ARRAYS[kind][len("array<struct<") : -2].split(",")))
+                columns = zip(*out) if out else [()] * len(names)
+                values = pa.StructArray.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.string()) for c, k in zip(columns, kinds)], names)
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
 
     run.__annotations__ = {"cols": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, {"raw": "array<string>", "spans": f"array<{_SPAN}>", "trace": f"array<{_STEP}>", "count": "int"}[kind])
+    return F.arrow_udf(run, _ARRAYS[kind])
 
 
 def raw_sentences(text) -> Column:
@@ -69,14 +83,19 @@ def raw_sentences(text) -> Column:
     return _scanned("raw")(F.col(text) if isinstance(text, str) else text)
 
 
+def sentence_spans(text) -> Column:
+    """Raw sentences with their lines and columns in order, as an array; none for a null text."""
+    return _scanned("spans")(F.col(text) if isinstance(text, str) else text)
+
+
 def sentence_count(text) -> Column:
     """How many sentences a text has. It passes for nondeterministic, lest a filter on it scan the text once more."""
     return _scanned("count").asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
-def _exploded(df: DataFrame, id_cols, name, index="sent_index", keep=()) -> DataFrame:
+def _exploded(df: DataFrame, id_cols, name, index="sent_index") -> DataFrame:
     """One row an element of ``_s``. An inner explode would have its array checked for elements below it, and so scanned twice."""
-    return df.select(*id_cols, *keep, F.posexplode_outer("_s").alias(index, name)).where(F.col(index).isNotNull())
+    return df.select(*id_cols, F.posexplode_outer("_s").alias(index, name)).where(F.col(index).isNotNull())
 
 
 def sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
@@ -87,10 +106,13 @@ def sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
 
 def segment(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
     """``sentences`` with ``span``: start_line, start_col, end_line, end_col from 1, the end column excluded."""
-    s = _exploded(df.select(*id_cols, text_col, _scanned("spans")(F.col(text_col)).alias("_s")), id_cols, "_s", keep=(text_col,))
-    raw = F.substr(F.col(text_col), F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))
-    span = F.struct(*[F.col(f"_s.{n}") for n in ("start_line", "start_col", "end_line", "end_col")])
-    return s.select(*id_cols, "sent_index", raw.alias("raw"), span.alias("span")).withColumn("sentence", normalize("raw"))
+    # The scanner hands out the sentences themselves: cutting them from a text in every row would take its length for each.
+    s = _exploded(df.select(*id_cols, _scanned("spans")(F.col(text_col)).alias("_s")), id_cols, "_s")
+    return s.select(*id_cols, "sent_index", "_s.raw", _span("_s")).withColumn("sentence", normalize("raw"))
+
+
+def _span(c) -> Column:
+    return F.struct(*[F.col(f"{c}.{n}") for n in ("start_line", "start_col", "end_line", "end_col")]).alias("span")
 
 
 def transitions(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
@@ -100,11 +122,9 @@ def transitions(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFram
 
 
 def traced_sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
-    """Every sentence with its transitions; one without gets a row of unknowns."""
-    s, t = segment(df, id_cols, text_col), transitions(df, id_cols, text_col)
-    keys = [*id_cols, "sent_index"]
-    j = s.join(t, keys, "left")
-    return j.select(*keys, "sentence", "span", "step", *[F.coalesce(F.col(n), F.lit(v)).alias(n) for n, v in (("state_before", "Unknown"), ("state_after", "Unknown"), ("transition", "Unknown"), ("matched", ""), ("pattern", "Unknown"), ("seam", "no_seam_text"))])
+    """Every sentence with its transitions, of one scan; one without gets a row of unknowns."""
+    t = _exploded(df.select(*id_cols, _scanned("traced")(F.col(text_col)).alias("_s")), id_cols, "_s", "_at")
+    return t.select(*id_cols, "_s.sent_index", normalize("_s.raw").alias("sentence"), _span("_s"), *[f"_s.{n}" for n in ("step", "state_before", "state_after", "transition", "matched", "pattern", "seam")])
 
 
 def dictionary_sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:

@@ -297,15 +297,9 @@ def discovery_counts(spark, d):
     return K.discovery_counts(docs(spark, d).select(F.when(F.contains("text", F.lit("|")), "table").alias("error")))
 
 
-@query("SELECT source AS tool, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 6) AS avg, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE source = 'src1' GROUP BY source")
-def throughput_summary(spark, d):
-    t = A.throughput_summary(docs(spark, d).where("source = 'src1'"), "n_chars", "n_chars")
-    return t.select(F.lit("src1").alias("tool"), "min", "max", F.round("avg", 6).alias("avg"), "chars")
-
-
-@query()
+@query("SELECT source AS tool, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 6) AS avg, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
 def throughput_by_source(spark, d):
-    """``throughput_summary`` of the documents of every source, one row each."""
+    """Least, greatest, mean and total of the documents of every source, one row each."""
     t = A.throughput_summary(docs(spark, d).groupBy(F.col("source").alias("tool")), "n_chars", "n_chars")
     return t.select("tool", "min", "max", F.round("avg", 6).alias("avg"), "chars")
 
@@ -447,6 +441,33 @@ def similarity_ratio(spark, d):
     return x.select("doc_id", C.similarity_ratio(C.joined("own"), C.joined("b")).alias("ratio"))
 
 
+@query(f"SELECT doc_id, n, length(trim(s)) >= n AS keep, sent_index FROM (SELECT doc_id, CAST(sent_index AS INT) AS sent_index, s FROM ({_SIMPLE})), (SELECT unnest([10, 20, 21, 50]) AS n)")
+def length_filters(spark, d):
+    """Which sentences pass each of the length filters in use."""
+    flags = F.array(*[F.struct(F.lit(n).alias("n"), C.long_enough("sentence", n).alias("keep")) for n in (10, 20, 21, 50)])
+    return S.simple_sentences(docs(spark, d)).select("doc_id", "sent_index", F.inline(flags))
+
+
+@query()
+def sentences_similar(spark, d):
+    """Whether each document's two segmentations have as many sentences and a ratio of 0.9 or more; tested against difflib."""
+    return _array_columns(spark, d).select("doc_id", C.sentences_similar("own", "b").alias("similar"))
+
+
+@query("SELECT doc_id, lang, source FROM documents")
+def shuffled_documents(spark, d):
+    """All documents in a reproducible random order."""
+    return C.shuffled(docs(spark, d).select("doc_id", "lang", "source"), "doc_id", 7)
+
+
+@query(lambda: _RICH + "SELECT doc_id, CAST(sent_index AS INT) AS sent_index, raw AS region FROM sent")
+def region_verbatim(spark, d):
+    """Each sentence's text by its lines and columns, line breaks kept."""
+    # A text's lines are split once for all of its spans.
+    x = dialog_docs(spark, d).select("doc_id", F.split("text", "\n", -1).alias("lines"), S.sentence_spans("text").alias("spans"))
+    return S._exploded(x.select("doc_id", F.transform("spans", lambda s: T.region_verbatim(F.col("lines"), s)).alias("_s")), ("doc_id",), "region")
+
+
 @query()
 def overlap_matches(spark, d):
     """Regions of one segmentation with the other's sentences near them that they hold or resemble."""
@@ -455,17 +476,10 @@ def overlap_matches(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4)) AS v, (SELECT string_split_regex(lower(text), '\\s+') FROM benchmark WHERE item_id = documents.doc_id % 40) AS o FROM documents) SELECT doc_id, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(list_intersect(v, o)) / len(v) END, 6) AS overlap FROM w"
+    "WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4)) AS v FROM documents), b AS (SELECT item_id, string_split_regex(lower(text), '\\s+') AS o FROM benchmark) SELECT doc_id, item_id, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(list_intersect(v, o)) / len(v) END, 6) AS overlap FROM w CROSS JOIN b"
 )
-def word_overlap(spark, d):
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("k"), F.col("text").alias("o"))
-    j = docs(spark, d).withColumn("k", F.col("doc_id") % 40).join(b, "k")
-    return j.select("doc_id", F.round(T.word_overlap(F.col("text"), F.col("o")), 6).alias("overlap"))
-
-
-@query()
 def word_overlap_pairs(spark, d):
-    """``word_overlap`` of every document with every benchmark item; words are split once a text, before they meet."""
+    """The word overlap of every document with every benchmark item; words are split once a text, before they meet."""
     b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.words("text").alias("o"))
     return docs(spark, d).select("doc_id", T.long_words("text").alias("v")).crossJoin(b).select("doc_id", "item_id", F.round(T.words_shared("v", "o"), 6).alias("overlap"))
 

@@ -107,3 +107,26 @@ def test_throughput_by_source_has_all_sources(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(x) for x in catalog.throughput_by_source(spark, str(tmp_path)).collect()}
     assert got == {("src0", 5, 5, 5.0, 5), ("src1", 7, 10, 8.5, 17), (None, 4, 4, 4.0, 4)}
+
+
+def test_similar_sentences_are_as_many_and_alike(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    texts = [(0, "It rained. He ran.  She sat.\n\nThey slept."), (1, 'It rained. "Go on," he said. She sat.'), (2, "Mr. Smith ran. He sat."), (4, ""), (5, "He ran. She sat.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r.doc_id: len(r.own) == len(r.b) and SequenceMatcher(None, " ".join(r.own), " ".join(r.b)).ratio() >= 0.9 for r in catalog._array_columns(spark, str(tmp_path)).collect()}
+    assert {r.doc_id: r.similar for r in catalog.sentences_similar(spark, str(tmp_path)).collect()} == want and set(want.values()) == {True, False}
+
+
+def test_shuffling_is_reproducible(spark, sf_dir):
+    one, two = ([r.doc_id for r in catalog.shuffled_documents(spark, sf_dir).collect()] for _ in range(2))
+    assert one == two and one != sorted(one)
+
+
+def test_equal_gold_sentences_count_each(spark):
+    from prosemill.operators import compare as C
+    from prosemill.operators import segment as S
+
+    gold = spark.createDataFrame([("He ran.", "normal"), ("He ran.", "normal"), ("He ran.", None), ("He ran. She sat.", "normal"), (None, "normal")], "text string, complexity string")
+    got = {r.complexity: (r.total, r.correct, r.over_segmented, r.under_segmented) for r in C.evaluate(gold, S.SEGMENTERS["dialog"], "dialog").collect()}
+    assert got == {"normal": (4, 2, 2, 0), None: (1, 1, 0, 0)}

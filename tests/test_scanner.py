@@ -147,3 +147,24 @@ def test_rules_are_read_from_json(spark, tmp_path):
     got = R.expand(R.read_rules(spark, str(tmp_path))).collect()
     assert {x.id for x in got} == {"c_r_period_space_upper", "c_r_period_space_lower"} and got[0].current_state == "Narrative"
     assert os.path.exists(tmp_path / "one.json")
+
+
+def test_long_texts_take_time_by_length(spark):
+    import time
+
+    from prosemill.operators import segment as S
+
+    text = 'He ran to Mr. Hill. "So," she said. They sat\nthere. ' * 40_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    S.segment(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    began = time.time()
+    assert S.segment(df).agg({"raw": "count"}).first()[0] > 100_000
+    assert time.time() - began < 20
+
+
+def test_a_title_behind_many_quotes_is_one():
+    from prosemill.operators.scanner import ends_with_title
+
+    for n in (0, 10, 70, 300):
+        assert ends_with_title("x " + '"' * n + "Mr.") and ends_with_title('"' * n + "Mr.")
+    assert not ends_with_title("x" + '"' * 70 + "Mr.")
