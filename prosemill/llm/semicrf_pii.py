@@ -12,12 +12,14 @@ programming over segments, which chooses boundaries and types together.
 An entity holds a digit or an @ and at most ``SPACES`` inner spaces. So candidates lie
 within ``SPACES`` words of such a token; all else is outside, and as transitions between
 outside tokens never vary, the best segmentation of the whole text is that of the
-stretches around such tokens. Only those are decoded; whole texts are scanned.
+stretches around such tokens. Only those are decoded; whole texts are scanned. Chains of
+more than ``CHAIN`` tokens beside an @ are one token, so addresses of any length fit.
 
 Defined results: null, empty and digitless texts without an @ have no entity; equal
 scores go to the segmentation with shorter last segment and first type by name; rows are
 judged one by one, so rows that repeat an id are each reported; an empty table gives an
-empty result. Other columns are not looked at.
+empty result. Texts may be of any length: of stretches full of digits scores are held for
+``BLOCK`` ends at a time. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ from prosemill.llm._text import _SPACE, buffers, row_blocks
 TYPES = ("out", "card", "email", "iban", "ip", "phone", "secret", "ssn")
 LONGEST = 15
 SPACES = 8
+#: More tokens than this before or behind an @ are one; ends of segments that are scored at once.
+CHAIN = 9
+BLOCK = 2048
 #: Training sentences, and passes over them.
 SENTENCES = 800
 PASSES = 4
@@ -82,24 +87,57 @@ def tokens(text):
         t = m[0]
         out.append((m.start(), m.end(), (" " if m.start() > end or not m.start() else "") + shape(t), t == "@" or any(c.isdigit() for c in t)))
         end = m.end()
-    return out
+    return _joined(out, text) if "@" in text else out
 
 
-def spans(toks):
-    """Candidate segments (i, j, parts, before, after): those that can be entities, and single tokens."""
+def _joined(toks, text):
+    """Tokens with long chains beside an @ (``a.b.c.d.e@``) as one, so that no address is too long for a segment."""
+    out, done = [], 0
+    for k, (start, end, s, _) in enumerate(toks):
+        if k < done or text[start:end] != "@":
+            continue
+        a, b = k, k + 1
+        while a > done and toks[a][2][0] != " " and (text[toks[a - 1][0]].isalnum() or text[toks[a - 1][0]] in "._+-%"):
+            a -= 1
+        while b < len(toks) and toks[b][2][0] != " " and (text[toks[b][0]].isalnum() or text[toks[b][0]] in ".-"):
+            b += 1
+        while b > k + 1 and not text[toks[b - 1][0]].isalnum():
+            b -= 1
+        out += toks[done:a]
+        if k - a > CHAIN:
+            # Only what stands before the chain is left out of it.
+            while not text[toks[a][0]].isalnum() and text[toks[a][0]] != "_" and a < k - 1:
+                out.append(toks[a])
+                a += 1
+            out.append((toks[a][0], toks[k - 1][1], toks[a][2][:-len(toks[a][2].strip())] + "a", True))
+        else:
+            out += toks[a:k]
+        out.append(toks[k])
+        if b - k - 1 > CHAIN:
+            out.append((toks[k + 1][0], toks[b - 3][1], "a", True))
+            out += toks[b - 2 : b]
+        else:
+            out += toks[k + 1 : b]
+        done = b
+    return out + toks[done:]
+
+
+def spans(toks, low=0, high=None):
+    """Candidate segments (i, j, parts, before, after) with low < j <= high: those that can be entities, and single tokens."""
     n = len(toks)
-    upto = [0]
-    for t in toks:
+    base, high = max(0, low - LONGEST), n if high is None else high
+    upto = [0] * (base + 1)
+    for t in toks[base:high]:
         upto.append(upto[-1] + t[3])
-    for i in range(n):
+    for i in range(base, high):
         before = toks[i - 1][2].strip() + ("_" if toks[i][2][0] == " " else "") if i else "^"
         gaps = 0
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
+        for j in range(i + 1, min(high, i + LONGEST) + 1):
             if j > i + 1 and toks[j - 1][2][0] == " ":
                 gaps += 1
                 if gaps > SPACES:
                     break
-            if j == i + 1 or upto[j] > upto[i]:
+            if j > low and (j == i + 1 or upto[j] > upto[i]):
                 after = toks[j][2] if j < n else "$"
                 yield i, j, [t[2] for t in toks[i:j]], before, after
 
@@ -122,28 +160,32 @@ class Model:
             self.known[key] = s
         return s
 
-    def table(self, toks):
-        """Scores of segments by end and length: (n + 1, LONGEST, types); -inf for what is no candidate."""
-        out = np.full((len(toks) + 1, LONGEST, len(TYPES)), -np.inf)
-        for i, j, parts, before, after in spans(toks):
+    def table(self, toks, low=0, high=None):
+        """Scores of segments by end, from low on, and length: (ends + 1, LONGEST, types); -inf for what is no candidate."""
+        high = len(toks) if high is None else high
+        out = np.full((high - low + 1, LONGEST, len(TYPES)), -np.inf)
+        for i, j, parts, before, after in spans(toks, low, high):
             s = self.score(parts, before, after)
             if j == i + 1:
-                out[j, 0, 0] = s[0]
+                out[j - low, 0, 0] = s[0]
                 if toks[i][3]:
-                    out[j, 0, 1:] = s[1:]
+                    out[j - low, 0, 1:] = s[1:]
             else:
-                out[j, j - i - 1, 1:] = s[1:]
+                out[j - low, j - i - 1, 1:] = s[1:]
         return out
 
     def decode(self, toks):
         """The best segmentation's entities: [(first token, end token, type)]."""
-        n, table = len(toks), self.table(toks)
+        n = len(toks)
         come = np.full((n + 1, len(TYPES)), -np.inf)  # best score with a segment of each type starting here
         come[0] = self.trans[0]
-        size, kind = np.zeros((n + 1, len(TYPES)), np.int64), np.zeros((n + 1, len(TYPES)), np.int64)
+        size, kind = np.zeros((n + 1, len(TYPES)), np.int8), np.zeros((n + 1, len(TYPES)), np.int8)
         for j in range(1, n + 1):
+            if (at := (j - 1) % BLOCK) == 0:
+                # Scores are held for so many ends at a time, however long a text is.
+                table = self.table(toks) if n <= BLOCK else self.table(toks, j - 1, min(n, j - 1 + BLOCK))
             k = min(LONGEST, j)
-            c = come[j - k : j][::-1] + table[j, :k]
+            c = come[j - k : j][::-1] + table[at + 1, :k]
             size[j] = c.argmax(axis=0)
             best = c[size[j], np.arange(len(TYPES))]
             onward = best[:, None] + self.trans

@@ -75,3 +75,13 @@ def test_bundles_of_small_groups(spark):
     got = K.shards(spark.createDataFrame(rows, "doc_id long, text string"), 3, limit=60).collect()
     size = check(rows, got, 3)
     assert (max(size) - min(size)) / sum(size) < 0.01
+
+
+def test_levels_are_differencing(spark, monkeypatch):
+    """Many buckets, and several levels of them, against the textbook over all groups at once."""
+    monkeypatch.setattr(K, "FAN", 4)
+    rows = [(i, "t" * (i * 37 % 97 + 1) + str(i)) for i in range(2000)] + [(5000, "y" * 3000)]
+    got = K.shards(spark.createDataFrame(rows, "doc_id long, text string"), 3, limit=200).collect()
+    size = check(rows, got, 3)
+    want = textbook(sorted((len(t) for _, t in rows), reverse=True), 3)
+    assert max(size) - min(size) <= max(want) - min(want) + 200

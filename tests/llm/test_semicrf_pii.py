@@ -102,3 +102,22 @@ def test_cases_and_documents(spark, sf_dir):
     have = {(x.doc_id, x.start, x.end) for x in S.op1_semicrf_pii(spark, sf_dir).collect()}
     sure = {(i, m.start(), m.end()) for i, t in docs.items() for m in re.finditer(r"[\w.]+@[\w.]+\w|\b\d+\.\d+\.\d+\.\d+\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b[0-9a-f]{40}\b", t)}
     assert len(have & sure) >= 0.97 * len(sure) and len(have & sure) >= 0.97 * len(have)
+
+
+def test_addresses_of_any_length_are_whole():
+    m = S.train()
+    for address in ("a.b.c.d.e.f.g.h.i@x.y.com", "first.second.third.fourth.fifth.sixth.seventh@mail.one.two.three.four.five.six.example.com", ".".join("abcdefgh" * 10) + "@mail1.example.com"):
+        text = f"Write to {address} soon, or not."
+        assert [text[a:b] for a, b, k in m.find(text) if k == "email"] == [address]
+
+
+def test_blocks_decode_alike(monkeypatch):
+    m, r = S.train(), random.Random(4)
+    for _ in range(30):
+        text = " ".join(S.sentence(r)[0] for _ in range(3))
+        toks = S.tokens(text)
+        whole = m.decode(toks)
+        for size in (1, 7, 16):
+            monkeypatch.setattr(S, "BLOCK", size)
+            assert m.decode(toks) == whole
+        monkeypatch.undo()
