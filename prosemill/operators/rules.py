@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,20 @@ def read_rules(spark, folder: str) -> DataFrame:
     """Rules of all JSON files of a folder but lists of known issues."""
     files = spark.read.schema(CATEGORY).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).where(~F.col("_metadata.file_name").eqNullSafe("known_issues.json"))
     return files.select("category", F.inline("rules"))
+
+
+def write_generated(cases: DataFrame, sources: list[str], path: str, order="id") -> int:
+    """Writes expanded cases as one JSON document of schema 2.0 to ``path``, or where BOUNDARY_TEST_OUTPUT says; returns their number.
+
+    Cases come to the driver a partition at a time and go to the file one by one.
+    """
+    path, n = os.environ.get("BOUNDARY_TEST_OUTPUT", path), 0
+    head = {"schema_version": "2.0", "description": "Cases expanded from boundary rules", "generated_from": sources}
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "test_cases": [')
+        for row in cases.orderBy(order).toLocalIterator():
+            f.write((",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False))
+            n += 1
+        f.write("\n]}\n")
+    os.replace(f"{path}.tmp", path)
+    return n

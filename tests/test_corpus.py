@@ -95,3 +95,17 @@ def test_command_line(spark, shelf, capsys, monkeypatch):
     for bad in ([], ["--debug-text", "x", "--debug-stdin"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_generated_cases_are_one_document(spark, tmp_path, monkeypatch):
+    from prosemill.operators import rules
+    from prosemill.plans import catalog
+
+    cases = rules.expand(catalog._rules(spark))
+    n = rules.write_generated(cases, ["narrative.json"], str(tmp_path / "a.json"))
+    doc = json.loads((tmp_path / "a.json").read_text(encoding="utf-8"))
+    assert doc["schema_version"] == "2.0" and doc["generated_from"] == ["narrative.json"] and n == cases.count()
+    assert sorted(map(str, doc["test_cases"])) == sorted(str(r.asDict()) for r in cases.collect())
+    monkeypatch.setenv("BOUNDARY_TEST_OUTPUT", str(tmp_path / "b.json"))
+    assert rules.write_generated(cases.limit(0), [], str(tmp_path / "c.json")) == 0
+    assert json.loads((tmp_path / "b.json").read_text())["test_cases"] == [] and not (tmp_path / "c.json").exists()
