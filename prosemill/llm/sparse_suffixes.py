@@ -50,6 +50,8 @@ KEY = LEAST - WINDOW + 1
 NEAR = 8
 #: Rows that are compared at once, a run of one KEY being kept whole.
 HELD = 100_000
+#: Bytes of texts that are hashed at once, in some 170 bytes of memory each; a longer text is one block.
+BLOCK = 1 << 18
 #: Suffixes of a task that are counted before they are sent.
 COUNTED = 1 << 19
 
@@ -140,7 +142,7 @@ def suffixes(parts):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, off = buffers(batch.column(1))
-            for i, j in row_blocks(off):
+            for i, j in row_blocks(off, BLOCK):
                 row, place, h = places(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
                 found.append((ids[i:j][row], place, h))
                 held += len(row)
@@ -149,6 +151,7 @@ def suffixes(parts):
                     found, held = [], 0
         if held:
             yield from send(found)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -201,7 +204,7 @@ def contexts(parts):
             at_place = wish.column("place").to_numpy()
             ids = t.column(0).to_numpy()
             data, off = buffers(t.column(1))
-            for i, j in row_blocks(off):
+            for i, j in row_blocks(off, BLOCK):
                 block, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 spots = [np.unique(at_place[by[x]]).astype(np.int64) if x in by else np.zeros(0, np.int64) for x in ids[i:j].tolist()]
                 row, place = np.repeat(np.arange(j - i), [len(x) for x in spots]), np.concatenate(spots)
@@ -225,6 +228,7 @@ def contexts(parts):
                     held, size = ([], [], [], [], [], []), 0
         if size:
             yield from send(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -294,7 +298,7 @@ def neighbours(parts):
         kinds = unpack(batches)
         if 1 in kinds:
             yield pack(kinds[1], spread(kinds[1].column("id").to_numpy(), parts), 0)
-        if t := kinds.get(0):
+        if t := kinds.pop(0, None):
             t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("h", "g", "right", "left", "id", "place")]))
             # From here on a number names what both hashes do.
             key = np.cumsum(_runs(t.column("h").to_numpy(), t.column("g").to_numpy()))
@@ -307,6 +311,7 @@ def neighbours(parts):
                 yield from held.add(out, spread(out.column("id").to_numpy(), parts))
                 x = y
             yield from held.rest()
+        pa.default_memory_pool().release_unused()
 
     return run
 

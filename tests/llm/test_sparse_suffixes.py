@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from prosemill.llm import sparse_suffixes as S
 
@@ -90,3 +92,16 @@ def test_every_repeat_of_a_hundred_bytes(spark):
     got = S.duplicate_passages(spark.createDataFrame(rows + [(1000 + k, key + str(k) * 80) for k in range(5)], "doc_id long, text string")).collect()
     assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id < 1000} == want
     assert all(x.end - x.start >= S.LEAST for x in got)
+
+
+def test_hashes_many_texts_in_little_memory():
+    r = random.Random(8)
+    text = prose(r, 30000)
+    rows = pa.record_batch([pa.array(range(40), pa.int64()), pa.array([text[3000 * i :][:60000] for i in range(40)])], ["id", "t"])
+    whole = [b.num_rows for b in S.suffixes(1)([rows])]
+    tracemalloc.start()
+    try:
+        assert [b.num_rows for b in S.suffixes(1)([rows])] == whole
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
