@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import patterns as P
 from prosemill.functions.text import normalize
+from prosemill.operators.portions import hand_back, portions
 from prosemill.operators.scanner import line_breaks, position, scan
 
 _SPAN = "struct<raw:string,start_line:int,start_col:int,end_line:int,end_col:int>"
@@ -44,7 +45,7 @@ def _scanned(kind):
     """An Arrow function text -> array of raw sentences, sentences with spans, transitions, or sentences with both; or the count of sentences."""
 
     def run(cols):
-        for col in cols:
+        for col in portions(cols):
             out, sizes = [], [0]
             for t in col.to_pylist():
                 if kind == "count":
@@ -73,6 +74,7 @@ def _scanned(kind):
                 columns = zip(*out) if out else [()] * len(names)
                 values = pa.StructArray.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.string()) for c, k in zip(columns, kinds)], names)
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+        hand_back()
 
     run.__annotations__ = {"cols": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, _ARRAYS[kind])

@@ -168,3 +168,22 @@ def test_a_title_behind_many_quotes_is_one():
     for n in (0, 10, 70, 300):
         assert ends_with_title("x " + '"' * n + "Mr.") and ends_with_title('"' * n + "Mr.")
     assert not ends_with_title("x" + '"' * 70 + "Mr.")
+
+
+def test_batches_are_worked_on_in_portions(spark):
+    import pyarrow as pa
+
+    from prosemill.operators import segment as S
+    from prosemill.operators.portions import BYTES, portions
+
+    texts = ['He ran. "Go on," she said. ' * 4000, None, "", *["It rained. He sat."] * 100_000]
+    f = S._scanned("traced").func
+    parts = list(f(iter([pa.array(texts)])))
+    assert sum(map(len, parts)) == len(texts) and len(parts) > 3
+    # No portion makes more than its bytes of text do.
+    assert max(len(p.flatten()) for p in parts) <= BYTES // 8
+    assert [len(x) for x in portions([pa.array(["ab", "c", None, "defghi", "", ""])], 5)] == [2, 1, 1, 2]
+    assert list(portions([pa.array([], pa.string())])) == []
+    whole = [x for p in parts for x in p.to_pylist()]
+    assert whole[1:3] == [None, []] or whole[1:3] == [[], []]
+    assert [x["raw"] for x in whole[-1]] == ["It rained.", "He sat."] and len(whole[0]) > 8000
