@@ -45,7 +45,7 @@ def _scanned(kind):
     """An Arrow function text -> array of raw sentences, sentences with spans, transitions, or sentences with both; or the count of sentences."""
 
     def run(cols):
-        for col in portions(cols):
+        for col in (c.slice(a, b - a) for c in cols for a, b in portions([c])):
             out, sizes = [], [0]
             for t in col.to_pylist():
                 if kind == "count":

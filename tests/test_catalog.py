@@ -130,3 +130,54 @@ def test_equal_gold_sentences_count_each(spark):
     gold = spark.createDataFrame([("He ran.", "normal"), ("He ran.", "normal"), ("He ran.", None), ("He ran. She sat.", "normal"), (None, "normal")], "text string, complexity string")
     got = {r.complexity: (r.total, r.correct, r.over_segmented, r.under_segmented) for r in C.evaluate(gold, S.SEGMENTERS["dialog"], "dialog").collect()}
     assert got == {"normal": (4, 2, 2, 0), None: (1, 1, 0, 0)}
+
+
+def test_overlaps_compare_few_pairs_by_difflib(spark, sf_dir, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    from prosemill.operators import likeness as L
+
+    r = random.Random(3)
+    strings = ["".join(r.choice("abcdefgh é’𝒳,"[: r.randint(1, 13)]) for _ in range(r.choice([0, 1, 63, 64, 65, r.randint(0, 400), 1100]))) for _ in range(400)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    a, b = strings[:200], strings[200:]
+    got = L.lcs_lengths(a, b).tolist()
+    assert got[:60] == [lcs(x, y) for x, y in zip(a[:60], b[:60])]
+    assert all(2 * g >= SequenceMatcher(None, x, y).ratio() * (len(x) + len(y)) - 1e-6 for g, x, y in zip(got, a, b))
+    # Prose that is no more alike than its letters make it never gets to the quadratic comparison.
+    prose = ["".join(r.choice("aaeeiinnrrsttdhlou  ") for _ in range(r.randint(150, 200))) for _ in range(60)]
+    asked = []
+    monkeypatch.setattr(L, "SequenceMatcher", lambda *x: asked.append(x) or SequenceMatcher(*x))
+    like = "".join("#" if k % 5 == 4 and c != " " else c for k, c in enumerate(prose[0]))
+    docs = [(0, s, s.lower()) for s in prose[:30]], [(k, s, s.lower()) for k, s in enumerate([*prose[30:], like])]
+    assert L.neighbours([docs[0]], [docs[1]], 0, 40, 0.7) == [[(0, 30)]] and 1 <= len(asked) <= 3
+    assert L.neighbours([None, [(0, None, None)], []], [docs[1], docs[1], None], 5, 20, 0.7) == [[], [], []]
+
+
+def test_equal_texts_need_no_comparison(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    from prosemill.operators import compare as C
+    from prosemill.operators import likeness as L
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghij éçàüößœ.,"[: r.randint(1, 20)]) for _ in range(r.randint(0, 600))) for _ in range(300)]
+    texts.append("".join(chr(r.randint(97, 900)) for _ in range(2000)))
+    assert all(SequenceMatcher(None, x, x).ratio() == 1.0 for x in texts)
+    monkeypatch.setattr(L, "SequenceMatcher", None)
+    monkeypatch.setattr("difflib.SequenceMatcher", None)
+    got = [x for p in C._ratio().func(iter([(pa.array([*texts, None]), pa.array([*texts, "x"]))])) for x in p.to_pylist()]
+    assert got == [1.0] * len(texts) + [None]

@@ -182,8 +182,9 @@ def test_batches_are_worked_on_in_portions(spark):
     assert sum(map(len, parts)) == len(texts) and len(parts) > 3
     # No portion makes more than its bytes of text do.
     assert max(len(p.flatten()) for p in parts) <= BYTES // 8
-    assert [len(x) for x in portions([pa.array(["ab", "c", None, "defghi", "", ""])], 5)] == [2, 1, 1, 2]
+    assert list(portions([pa.array(["ab", "c", None, "defghi", "", ""])], 5)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
     assert list(portions([pa.array([], pa.string())])) == []
+    assert list(portions([pa.array([[(1, "ab")], None, [(1, "c"), (2, "d")], []], pa.list_(pa.struct([("k", pa.int32()), ("s", pa.string())])))], 7)) == [(0, 2), (2, 3), (3, 4)]
     whole = [x for p in parts for x in p.to_pylist()]
     assert whole[1:3] == [None, []] or whole[1:3] == [[], []]
     assert [x["raw"] for x in whole[-1]] == ["It rained.", "He sat."] and len(whole[0]) > 8000
