@@ -479,9 +479,9 @@ def overlap_matches(spark, d):
     "WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4)) AS v FROM documents), b AS (SELECT item_id, string_split_regex(lower(text), '\\s+') AS o FROM benchmark) SELECT doc_id, item_id, round(CASE WHEN len(v) = 0 THEN 0 ELSE len(list_intersect(v, o)) / len(v) END, 6) AS overlap FROM w CROSS JOIN b"
 )
 def word_overlap_pairs(spark, d):
-    """The word overlap of every document with every benchmark item; words are split once a text, before they meet."""
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.words("text").alias("o"))
-    return docs(spark, d).select("doc_id", T.long_words("text").alias("v")).crossJoin(b).select("doc_id", "item_id", F.round(T.words_shared("v", "o"), 6).alias("overlap"))
+    """The word overlap of every document with every benchmark item; words are split once a text and looked up once for all items."""
+    pairs = C.word_overlaps(docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return pairs.withColumn("overlap", F.round("overlap", 6))
 
 
 # Classification and samples.

@@ -181,3 +181,22 @@ def test_equal_texts_need_no_comparison(monkeypatch):
     monkeypatch.setattr("difflib.SequenceMatcher", None)
     got = [x for p in C._ratio().func(iter([(pa.array([*texts, None]), pa.array([*texts, "x"]))])) for x in p.to_pylist()]
     assert got == [1.0] * len(texts) + [None]
+
+
+def test_word_overlaps_in_slices(spark):
+    from prosemill.operators import compare as C
+
+    docs = spark.createDataFrame([(0, "apple Orchard slowly é éclair"), (1, None), (2, "a b c"), (3, ""), (0, "orchard orchard"), (None, "apple")], "doc_id long, text string")
+    items = [(0, "the orchard"), (5, None), (7, "éclair  apple\tslowly"), (7, "éclair  apple\tslowly"), (None, "apple"), (9, "")]
+    table = spark.createDataFrame(items, "item_id int, text string")
+    want = []
+    for d, t in [tuple(r) for r in docs.collect()]:
+        long = None if t is None else {w for w in t.lower().split() if len(w) > 4}
+        want += [(d, i, None if long is None else 0.0 if not long else None if o is None else len(long & set(o.lower().split())) / len(long)) for i, o in items]
+    for size in (1 << 20, 16):
+        found = C.word_overlaps(docs, table, slice_bytes=size)
+        assert found.schema.simpleString() == "struct<doc_id:bigint,item_id:int,overlap:double>"
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+        # No pair of texts is a row of a join.
+        assert "Join" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert C.word_overlaps(docs, table.limit(0)).count() == 0
