@@ -144,10 +144,14 @@ def dictionary_sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") ->
     return df.select(*id_cols, F.posexplode(kept).alias("sent_index", "sentence"))
 
 
+def simple_parts(text) -> Column:
+    """The simple splitter's sentences in order, as an array."""
+    return F.filter(F.transform(F.split(F.col(text) if isinstance(text, str) else text, r"(?<=[.!?])\s+(?=[A-Z])", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def simple_sentences(df: DataFrame, id_cols=("doc_id",), text_col="text") -> DataFrame:
     """Splits at white space between an end mark and a capital."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), r"(?<=[.!?])\s+(?=[A-Z])", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return df.select(*id_cols, F.posexplode(parts).alias("sent_index", "sentence"))
+    return df.select(*id_cols, F.posexplode(simple_parts(text_col)).alias("sent_index", "sentence"))
 
 
 #: Segmenters by name; further ones, such as wrappers of libraries, can be added as functions of the same form.

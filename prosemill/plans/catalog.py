@@ -344,7 +344,8 @@ def _pair(spark, d):
 
 @query(lambda: _RICH + _PAIR + "SELECT doc_id, sentence FROM a EXCEPT SELECT doc_id, sentence FROM b")
 def seg_only_left(spark, d):
-    return C.only_left(*_pair(spark, d), ["doc_id", "sentence"])
+    own, simple = (F.transform(x, T.normalize) for x in (S.raw_sentences("text"), S.simple_parts("text")))
+    return C.only_left_within(dialog_docs(spark, d), "doc_id", own, simple, "sentence")
 
 
 @query(lambda: _RICH + _PAIR + "SELECT doc_id, sentence FROM a INTERSECT SELECT doc_id, sentence FROM b")

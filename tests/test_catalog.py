@@ -200,3 +200,17 @@ def test_word_overlaps_in_slices(spark):
         # No pair of texts is a row of a join.
         assert "Join" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
     assert C.word_overlaps(docs, table.limit(0)).count() == 0
+
+
+def test_only_left_needs_no_shuffle_and_minds_repeated_ids(spark, tmp_path):
+    texts = [(0, "He ran. She sat. He ran."), (1, 'It rained. "Go on," he said. She sat.'), (2, None), (3, "")]
+    more = [(1, "It rained. Go on. Mr. Smith ran."), (0, '"So it is." He ran.'), (None, '"Ah. No." He said.'), (None, "Mr. Hall sat. Ah. No.")]
+    for name, rows in (("once", texts), ("twice", texts + more)):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        a, b = catalog._pair(spark, str(tmp_path / name))
+        want = {tuple(r) for r in a.select("doc_id", "sentence").collect()} - {tuple(r) for r in b.select("doc_id", "sentence").collect()}
+        df = catalog.seg_only_left(spark, str(tmp_path / name))
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        plan = df._jdf.queryExecution().toString()
+        assert ("Join" in plan) == (name == "twice")
