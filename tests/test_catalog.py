@@ -214,3 +214,18 @@ def test_only_left_needs_no_shuffle_and_minds_repeated_ids(spark, tmp_path):
         assert len(got) == len(set(got)) and set(got) == want and want
         plan = df._jdf.queryExecution().toString()
         assert ("Join" in plan) == (name == "twice")
+
+
+def test_bounds_of_likeness_lose_no_pair():
+    import random
+    from difflib import SequenceMatcher
+
+    from prosemill.operators import likeness as L
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("eeeettaaoinshr é,𝒳\0"[: r.randint(1, 18)]) for _ in range(r.randint(0, 160))) for _ in range(40)]
+    sentences = [t[: r.randint(0, 90)] + "".join(r.choice("etaoins ") for _ in range(r.randint(0, 40))) for t in texts]
+    i, j = zip(*((x, y) for x in range(40) for y in range(40)))
+    for over in (0.3, 0.55, 0.7):
+        want = [SequenceMatcher(None, texts[x], sentences[y]).ratio() > over for x, y in zip(i, j)]
+        assert L.alike(texts, sentences, i, j, over).tolist() == want and any(want) and not all(want)
